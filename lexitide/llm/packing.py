@@ -4,6 +4,8 @@ filled best fit first. Everything on the driver is bounded by the sequence lengt
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +22,9 @@ from .common import prepare, stage
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
-#: Words whose ids one Python worker keeps; further ones are encoded anew each time.
-CACHE_WORDS = 300_000
-_tokenizers: dict[str, tuple] = {}
+#: Words that each of a worker's caches takes before it turns old and the older one is let go.
+CACHE_WORDS = 400_000
+_encoders: dict[str, "Encoder"] = {}
 
 
 def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,42 +130,80 @@ class Placement:
         return first + copy, at + i * length
 
 
-def _load(path: str) -> tuple:
-    if path not in _tokenizers:
-        import os
+class Encoder:
+    """Ids of words by a tokenizer of the `tokenizers` library that lower-cases, drops white space and ends words by
+    </w>: texts are cut at white space, words at the tokenizer's own pattern, and what recurs comes from caches that
+    keep the words of late."""
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        bar = tok.encode("|", add_special_tokens=False).ids
-        _tokenizers[path] = (tok, bar[0] if len(bar) == 1 and tok.encode("a | b", add_special_tokens=False).ids.count(bar[0]) == 1 else None, {})
-    return _tokenizers[path]
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        cut = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.cut = regex.compile(cut[0])
+        self.parts = Tokenizer.from_file(path)
+        self.parts.normalizer = None
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(" "), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: tuple[dict, dict] = ({}, {})
+        self.pieces: tuple[dict, dict] = ({}, {})
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn_pieces(self, new: list[str]) -> None:
+        young = self.pieces[0]
+        for i in range(0, len(new), 512):
+            some = new[i : i + 512]
+            got = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(some):
+                young.update((w, got[a:b].tobytes()) for w, a, b in zip(some, [0, *cuts.tolist()], cuts.tolist()))
+            else:
+                young.update((w, np.array(self.parts.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()) for w in some)
+
+    def learn_words(self, new: list[str]) -> None:
+        young = self.words[0]
+        plain = [w for w in new if "<|" not in w]
+        normal = self.whole.normalizer.normalize_str(" ".join(plain)).split(" ")
+        if len(normal) != len(plain):
+            plain, normal = [], []
+        cut, (have, old) = self.cut.findall, self.pieces
+        split = [(w,) if w.isalpha() else cut(w) for w in normal]
+        missing = {p for ps in split for p in ps if p not in have}
+        have.update((p, old[p]) for p in missing if p in old)
+        self.learn_pieces([p for p in missing if p not in have])
+        young.update([(w, have[ps[0]] if len(ps) == 1 else b"".join([have[p] for p in ps])) for w, ps in zip(plain, split)])
+        young.update((w, self.ids(w)) for w in new if w not in young)
+        if len(have) > CACHE_WORDS:
+            self.pieces = ({}, have)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text."""
+        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        have, old = self.words
+        seen: set[str] = set()
+        for words in split:
+            seen.update(words or ())
+        new = seen.difference(have)
+        have.update([(w, old[w]) for w in new if w in old])
+        self.learn_words([w for w in new if w not in have])
+        known = have.__getitem__
+        out = [self.ids(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split)]
+        if len(have) > CACHE_WORDS:
+            self.words = ({}, have)
+        return out
 
 
 def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers. White space never joins or alters its
-    neighbours in this tokenizer, so texts are encoded word by word and frequent words come from a cache."""
-    tok, bar, cache = _load(path)
-    ids = lambda s: np.array(tok.encode(s, add_special_tokens=False).ids, dtype="<u4")
-    split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    new = {w for words in split if words for w in words if w not in cache}
-    own = cache if len(cache) + len(new) <= CACHE_WORDS else dict.fromkeys(())
-    plain = [w for w in new if "|" not in w and len(w) < 200] if bar is not None else []
-    for i in range(0, len(plain), 512):
-        some = plain[i : i + 512]
-        got = ids(" | ".join(some))
-        cuts = np.flatnonzero(got == bar)
-        if len(cuts) == len(some) - 1:
-            for w, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(got)]):
-                own[w] = got[a:b].tobytes()
-    for w in new:
-        if w not in own:
-            own[w] = ids(w).tobytes()
-    if own is cache:
-        return [ids(t).tobytes() if words is None else b"".join([cache[w] for w in words]) for t, words in zip(texts, split)]
-    look = lambda w: cache[w] if w in cache else own[w]
-    return [ids(t).tobytes() if words is None else b"".join([look(w) for w in words]) for t, words in zip(texts, split)]
+    """The ids of each text; encoders stay with their worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
