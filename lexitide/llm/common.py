@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,17 +71,17 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batch with about limit bytes of column each, one row at least."""
-    lengths = np.diff(offsets_of(batch.column(column)))
+def runs(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about limit bytes of a string or binary column."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, total = 0, 0
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate(sizes):
         if i > start and total + n > limit:
-            yield batch.slice(start, i - start)
+            yield start, i
             start, total = i, 0
         total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

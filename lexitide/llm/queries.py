@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, media, mixing, packing, quality, sharding
+from . import embedding_dedup, html_extract, langid, media, mixing, ngram_join, packing, quality, repeats, sharding
 from .common import prepare
 
 
@@ -37,6 +37,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), html_extract.default_model())
 
@@ -45,6 +49,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(read(spark, sf_dir, "documents")).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "switches")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,14 +63,24 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group_key"), F.xxhash64("doc_id").alias("order_key"))
     return sharding.shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(prepare(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_quality, op4_html, op5_langid, op7_pack, op8_media, op10_shard)}
+    return {f.__name__: f for f in (op1_mix, op2_quality, op3_embeddings, op4_html, op5_langid, op6_repeats, op7_pack, op8_media, op9_ngram_join, op10_shard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
