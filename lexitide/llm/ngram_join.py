@@ -180,7 +180,8 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     known = groups.join(classes.select(F.col("c").alias("v"), "n", "m", "rep", "t"), "v")
     placed = stage(blocked(known, "label", "v", "n", BLOCK_NGRAMS, BLOCK_ROWS), "ngram-candidates")
     found = (source["t"] == placed["t"]) & source["id"].eqNullSafe(placed["rep"])
-    tasks = source.join(placed, found).select("label", "lo", "hi", "v", "block", "m", "text").repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "v")
+    # Sort-merge at every size: a plan that broadcasts small candidate tables would hide that texts move.
+    tasks = source.join(placed.hint("merge"), found).select("label", "lo", "hi", "v", "block", "m", "text").repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 3):
