@@ -19,8 +19,9 @@ from .ngram_join import powers
 
 #: Bytes that an anchor is chosen by; every string of the least length holds one.
 GRAM = 32
-#: Occurrences of one anchor gathered in a task; beyond it strings are counted by hash over all tasks.
-MOST_GATHERED = 10_000
+#: Occurrences of one anchor gathered in a task: at most 15 MB, as the context of each has 368 bytes at most. Strings
+#: at anchors that occur more often are counted by hash over all tasks.
+MOST_GATHERED = 40_000
 _PIECE = 1 << 21
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -172,11 +173,12 @@ def contexts(source: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return whole, joined.mapInArrow(cut, "key long, t1 long, t2 int, place long, at long, context binary, hot boolean")
 
 
-def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", context: DataFrame | None = None) -> DataFrame:
+def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", context: DataFrame | None = None, hulls: bool = False) -> DataFrame:
     """(t1, t2, start, length, group): the occurrences of maximal repeats of at least `least` bytes around each anchor,
     start in bytes of the text whose hashes are t1 and t2; occurrences of one repeat have one group. A repeat longer than
     what surrounds an anchor comes as overlapping groups. Anchors that occur more than MOST_GATHERED times come as
-    strings of exactly `least` bytes, counted by 128-bit hash without gathering them."""
+    strings of exactly `least` bytes, counted by 128-bit hash without gathering them. With hulls the repeats around one
+    anchor, which all hold it, come as one range, the group being one of theirs."""
     source = _texts(docs, id_col, text_col)
     context = context if context is not None else contexts(source, least)[1]
     near = context.where(~F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key")
@@ -194,6 +196,11 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
         entry, left, right, group = maximal_repeats(key[take], data, off, at[take], least)
         if not len(entry):
             return None
+        if hulls:
+            order = np.argsort(entry, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(entry[order]) != 0]))
+            left, right = np.maximum.reduceat(left[order], first), np.maximum.reduceat(right[order], first)
+            entry, group = entry[order][first], group[order][first]
         rows = take[entry]
         name = mix64(key[rows].view(np.uint64) ^ mix64(group.view(np.uint64) + np.uint64(1)))
         return pa.RecordBatch.from_arrays([pa.array(where[0][rows]), pa.array(where[1][rows].astype(np.int32)), pa.array(where[2][rows] - left), pa.array(left + right), pa.array(name.view(np.int64))], names=["t1", "t2", "start", "length", "group"])
@@ -257,7 +264,7 @@ def removed(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col:
     source = _texts(docs, id_col, text_col)
     whole, context = contexts(source, least)
     context = stage(context, "repeat-contexts")
-    covers = repeat_groups(docs, least, id_col, text_col, context).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    covers = repeat_groups(docs, least, id_col, text_col, context, hulls=True).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     covers = stage(covers, "repeat-covers")
     unstage(context)
     full = whole.where("copies > 1").select("t1", "t2", F.lit(True).alias("full"))
