@@ -4,6 +4,7 @@ filled best fit first. Everything on the driver is bounded by the sequence lengt
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import zlib
@@ -217,6 +218,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            gc.disable()  # caches of words hold no cycles, and walking them again and again is a third of the time
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 owner, piece, start, length, crc = [], [], [], [], []
