@@ -24,7 +24,9 @@ from .common import prepare, stage
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 #: Words that each of a worker's caches takes before it turns old and the older one is let go.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Marks that the tokenizer cuts off a word of letters as a piece of their own.
+_STOPS = frozenset(".,;:!?")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -174,7 +176,7 @@ class Encoder:
         if len(normal) != len(plain):
             plain, normal = [], []
         cut, (have, old) = self.cut.findall, self.pieces
-        split = [(w,) if w.isalpha() else cut(w) for w in normal]
+        split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else cut(w) for w in normal]
         missing = {p for ps in split for p in ps if p not in have}
         have.update((p, old[p]) for p in missing if p in old)
         self.learn_pieces([p for p in missing if p not in have])
