@@ -79,7 +79,7 @@ class Level:
         return next((i + 2 for i, f in enumerate(self.fields) if f.name == name), -1)
 
 
-POSTINGS = T._parse_datatype_string("docid int, type int, word string, payload binary")
+POSTINGS = T.StructType([T.StructField(n, t) for n, t in (("docid", T.IntegerType()), ("type", T.IntegerType()), ("word", T.StringType()), ("payload", T.BinaryType()))])
 
 
 @dataclass

@@ -1,13 +1,213 @@
-"""The queries of the search engine by name, and their SQL."""
+"""The queries of the search-and-index engine over the test tables, and the same in SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from lexitide.catalog import Field, Inverted, Level
+from lexitide.functions.signs import b64_decode, json_object, num_to_int, prefix_concat, sign64, value_of
+from lexitide.operators import replay as rp
+from lexitide.operators import sets, tables
+from lexitide.plans.lowering import Term, search, term_lookup
+from lexitide.sources.mutation_log import log_split
+from lexitide.sources.store import level_counts
 
+DOC = Level(10, "doc", (), (Inverted(0, "term::", 4, lambda c: F.encode(F.lpad(c, 4, "0"), "UTF-8")), Inverted(1, "lang::"), Inverted(2, "source::")))
+GOODS = Level(2, "goods", (Field("brand_id", "int"), Field("size", "int"), Field("price", "float")), (Inverted(0, "term::"), Inverted(1, "cate::")))
+LOG = Level(3, "log", (Field("k", "int", -1), Field("value", "float")), (Inverted(0, "term::"),))
 
-def oracle_sql():
-    return {}
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def doc_postings(spark: SparkSession, d: str) -> DataFrame:
+    """(docid, type, word, payload): words of texts with their counts, languages and sources."""
+    docs = _read(spark, d, "documents")
+    words = docs.select(F.col("doc_id").alias("docid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).groupBy("docid", "word").agg(F.count("*").cast("int").alias("payload"))
+    one = lambda kind, c: docs.where(F.col(c).isNotNull()).select(F.col("doc_id").alias("docid"), F.lit(kind).alias("type"), F.col(c).alias("word"), F.lit(1).alias("payload"))
+    return words.select("docid", F.lit(0).alias("type"), "word", "payload").unionByName(one(1, "lang")).unionByName(one(2, "source"))
+
+
+DOC_SQL = """WITH tok AS (SELECT doc_id AS docid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents),
+p AS (SELECT docid, 0 AS type, word, CAST(count(*) AS INT) AS payload FROM tok GROUP BY ALL
+ UNION ALL SELECT doc_id, 1, lang, 1 FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, 2, source, 1 FROM documents WHERE source IS NOT NULL) """
+
+
+def goods_forward(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "part").select(F.col("p_partkey").cast("int").alias("oid"), F.col("p_partkey").cast("int").alias("docid"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("brand_id"), F.col("p_size").alias("size"), F.col("p_retailprice").cast("float").alias("price"))
+
+
+def goods_postings(spark: SparkSession, d: str) -> DataFrame:
+    part = _read(spark, d, "part")
+    words = part.select(F.col("p_partkey").cast("int").alias("docid"), F.lit(0).alias("type"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    return words.unionByName(part.select(F.col("p_partkey").cast("int").alias("docid"), F.lit(1).alias("type"), F.col("p_type").alias("word"))).withColumn("payload", F.lit(None).cast("binary"))
+
+
+GOODS_SQL = """WITH f AS (SELECT CAST(p_partkey AS INT) AS oid, CAST(p_partkey AS INT) AS docid, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS brand_id, p_size AS size, CAST(p_retailprice AS FLOAT) AS price FROM part),
+p AS (SELECT CAST(p_partkey AS INT) AS docid, 0 AS type, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part UNION ALL SELECT CAST(p_partkey AS INT), 1, p_type FROM part) """
+
+
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a mutation log: signup and purchase are full rows, click and view give one field, error deletes."""
+    e = _read(spark, d, "events")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    op = F.when(kind == "error", "1").when(kind == "signup", "0").otherwise("2")
+    k_part, v_part = F.concat(F.lit('"k": '), k), F.concat(F.lit('"value": '), F.col("value").cast("string"))
+    fwd = F.when(kind == "signup", F.concat(F.lit("{"), k_part, F.lit(", "), v_part, F.lit("}"))).when(kind.isin("purchase", "view"), F.concat(F.lit("{"), v_part, F.lit("}"))).when(kind == "click", F.concat(F.lit("{"), k_part, F.lit("}")))
+    inv = F.when(kind.isin("signup", "purchase"), F.concat(F.lit('{"0": ["'), kind, F.lit('", "k'), (k.cast("int") % 10).cast("string"), F.lit('"]}')))
+    return e.select(F.lit(0).alias("file_no"), F.col("event_id").alias("line_no"), F.concat_ws("\t", F.lit("3"), op, F.col("user_id").cast("string"), fwd, inv).alias("line"))
+
+
+LOG_SQL = """WITH e AS (SELECT event_id AS seq, CAST(user_id AS INT) AS oid, event_type AS t, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+b AS (SELECT oid, coalesce(max(seq) FILTER (t = 'error'), -1) AS del FROM e GROUP BY oid), s AS (SELECT e.* FROM e JOIN b USING (oid) WHERE seq > del),
+f AS (SELECT oid, oid AS docid, coalesce(arg_max(k, seq) FILTER (t IN ('signup', 'click')), -1) AS k, coalesce(arg_max(value, seq) FILTER (t IN ('signup', 'purchase', 'view')), 0) AS value FROM s GROUP BY oid),
+l AS (SELECT oid, max(seq) AS seq FROM s WHERE t IN ('signup', 'purchase') GROUP BY oid),
+w AS (SELECT s.oid AS docid, s.t AS a, 'k' || CAST(s.k % 10 AS VARCHAR) AS b FROM s JOIN l USING (oid, seq)),
+p AS (SELECT docid, 0 AS type, a AS word FROM w UNION SELECT docid, 0, b FROM w) """
+_FIELDS = "SELECT oid, docid, k, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) AS value FROM f"
+
+
+def _log_state(spark: SparkSession, d: str) -> rp.State:
+    return rp.replay(log_lines(spark, d), LOG)
+
+
+def _rounded(forward: DataFrame) -> DataFrame:
+    return forward.select("oid", "docid", "k", F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+T0, T1, T2 = Term("the", 0), Term("for", 0), Term("und", 0)
+LANG, SOURCE, UNKNOWN = Term("en", 1), Term("src0", 2), Term("nosuchword", 0)
+
+
+def _has(word: str, kind: int = 0) -> str:
+    return f"SELECT docid FROM p WHERE type = {kind} AND word = '{word}'"
+
+
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    _Q[name] = (run, sql)
+
+
+def _doc(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    _put(name, lambda s, d: run(doc_postings(s, d)), DOC_SQL + sql)
+
+
+def _searches() -> None:
+    the, for_, und, en, src = _has("the"), _has("for"), _has("und"), _has("en", 1), _has("src0", 2)
+    one = lambda t: lambda p: term_lookup(p, t.word, t.type)
+    lookups = lambda p, *ts: [one(t)(p) for t in ts]
+    _doc("term_lookup", one(T0), the)
+    _doc("and2", lambda p: sets.and2(*lookups(p, T0, T1)), f"{the} INTERSECT {for_}")
+    _doc("or2", lambda p: sets.or2(*lookups(p, T1, T2)), f"{for_} UNION {und}")
+    _doc("diff", lambda p: sets.diff(*lookups(p, T0, T1)), f"{the} EXCEPT {for_}")
+    _doc("and_n", lambda p: sets.and_n(lookups(p, T0, T1, LANG)), f"{the} INTERSECT {for_} INTERSECT {en}")
+    _doc("or_n", lambda p: sets.or_n(lookups(p, T0, T1, T2)), f"{the} UNION {for_} UNION {und}")
+    _doc("req_opt", lambda p: sets.req_opt(*lookups(p, T0, T1)), f"SELECT docid, docid IN ({for_}) AS opt_hit FROM ({the})")
+    three = [T0, T1, T2]
+    _doc("q_hp", lambda p: search(p, "0 & 1 | 2", three), f"({the} INTERSECT {for_}) UNION {und}")
+    _doc("q_binary", lambda p: search(p, "0&1-2", three, optional=False, how="joins"), f"({the} INTERSECT {for_}) EXCEPT {und}")
+    _doc("q_precedence", lambda p: search(p, "0-1|2", three), f"{the} EXCEPT ({for_} UNION {und})")
+    _doc("q_nested", lambda p: search(p, "(0|2)&3-(1&4)", [*three, LANG, SOURCE]), f"(({the} UNION {und}) INTERSECT {en}) EXCEPT ({for_} INTERSECT {src})")
+    _doc("q_three_types", lambda p: search(p, "0&1&2", [T0, LANG, SOURCE]), f"{the} INTERSECT {en} INTERSECT {src}")
+    _doc("q_missing_term", lambda p: search(p, "0|1", [T0, UNKNOWN]), the)
+    _doc("q_missing_and", lambda p: search(p, "0&1", [T0, UNKNOWN]), f"{the} INTERSECT {_has('nosuchword')}")
+    _doc("q_repeat_term", lambda p: search(p, "0&0", [T0]), the)
+    _doc("q_optional", lambda p: search(p, "0*1", three), the)
+    _doc("big_scan", lambda p: p.where("type = 1 and word = 'en'").select("docid", "payload"), "SELECT docid, payload FROM p WHERE type = 1 AND word = 'en'")
+    _put("search_fetch", flagship, DOC_SQL + f", h AS (({the} INTERSECT {for_}) EXCEPT {und}) SELECT doc_id, lang, source, n_chars FROM documents JOIN h ON doc_id = docid")
+
+    score = f"SELECT docid, CAST(bit_or(CASE word WHEN 'the' THEN 1 ELSE 2 END) AS BIGINT) AS matched, CAST(sum(payload) AS BIGINT) AS score FROM p WHERE type = 0 AND word IN ('the', 'for') GROUP BY docid"
+    payload = lambda c: c.cast("long")
+    _doc("strategy_and", lambda p: sets.scored(p, "0&1", three, payload), f"SELECT * FROM ({score}) WHERE matched = 3")
+    _doc("strategy_or", lambda p: sets.scored(p, "0|1", three, payload), score)
+    _doc("strategy_diff", lambda p: sets.scored(p, "0-2", three, payload), f"SELECT docid, CAST(1 AS BIGINT) AS matched, CAST(payload AS BIGINT) AS score FROM p WHERE type = 0 AND word = 'the' AND docid NOT IN ({und})")
+    _doc("strategy_reqopt", lambda p: sets.scored(p, "0*1", three, payload), f"SELECT * FROM ({score}) WHERE matched IN (1, 3)")
+    _doc("weight", lambda p: sets.scored(p, "0|1", three, payload, weight=lambda s: s * 2), f"SELECT docid, matched, score * 2 AS score FROM ({score})")
+
+
+def _inspection() -> None:
+    _doc("words_of_doc", lambda p: tables.words_of_doc(p.where("type > 0")).select("docid", F.array_join("words", " ").alias("words")), "SELECT docid, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM p WHERE type > 0 GROUP BY docid")
+    _doc("doc_count", lambda p: tables.doc_count(p, p), "SELECT count(DISTINCT docid) AS docs FROM p")
+    _doc("list_lengths", tables.list_lengths, "SELECT type, word, count(DISTINCT docid) AS n FROM p GROUP BY ALL")
+    _doc("list_totals", tables.list_totals, "SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS total_len FROM (SELECT count(DISTINCT docid) AS n FROM p GROUP BY type, word)")
+    _doc("list_meta", lambda p: tables.list_meta(p.where("type > 0"), DOC), "SELECT CASE type WHEN 1 THEN 'lang::' ELSE 'source::' END || word || ' : ' || count(DISTINCT docid) AS line FROM p WHERE type > 0 GROUP BY type, word")
+    _doc("type_stats", tables.type_stats, "SELECT type, count(*) AS postings, count(DISTINCT word) AS words, count(DISTINCT docid) AS docs FROM p GROUP BY type")
+    _doc("cmd_print_list", lambda p: tables.command(p, "print_list en 1"), _has("en", 1))
+    _doc("cmd_list_len", lambda p: tables.command(p, "print_list_len the 0"), "SELECT count(*) AS length FROM p WHERE type = 0 AND word = 'the'")
+    _put("level_counts", lambda s, d: level_counts({"doc": (doc_postings(s, d), doc_postings(s, d)), "goods": (goods_forward(s, d), goods_postings(s, d))}), DOC_SQL + "SELECT 'doc' AS name, count(DISTINCT docid) AS docs FROM p UNION ALL SELECT 'goods', count(*) FROM part")
+
+
+def _goods() -> None:
+    def put(name: str, run: Callable[[DataFrame, DataFrame], DataFrame], sql: str) -> None:
+        _put(name, lambda s, d: run(goods_forward(s, d), goods_postings(s, d)), GOODS_SQL + sql)
+
+    ids = [1, 5, 9, 14, 100, 150, 4000000]
+    put("array_src", lambda f, p: sets.and2(sets.array_source(f.sparkSession, ids), f), f"SELECT docid FROM f WHERE docid IN ({', '.join(map(str, ids))})")
+    put("get_by_docid", lambda f, p: tables.get_by_docid(term_lookup(p, "red", 0), f), "SELECT f.* FROM f JOIN p USING (docid) WHERE type = 0 AND word = 'red'")
+    put("get_by_oid", lambda f, p: tables.get_by_oid(f, f.sparkSession.createDataFrame([(i,) for i in ids], "oid int")), f"SELECT CAST(i AS INT) AS oid, coalesce(docid, -1) AS docid FROM (SELECT unnest({ids}) AS i) LEFT JOIN f ON f.oid = i")
+    put("fwd_scan", lambda f, p: f.select("oid"), "SELECT oid FROM f")
+    put("field_iter", lambda f, p: tables.field_iter(f.drop("price"), Level(2, "goods", GOODS.fields[:2], GOODS.inverted)), "SELECT oid, 0 AS at, 'brand_id' AS name, CAST(brand_id AS VARCHAR) AS value FROM f UNION ALL SELECT oid, 1, 'size', CAST(size AS VARCHAR) FROM f")
+    parts = "SELECT docid, 'big' AS payload FROM f WHERE docid % 3 <> 0"
+    put("lsm_merge", lambda f, p: sets.lsm_merge(f.where("docid % 3 <> 0").select("docid", F.lit("big").alias("payload")), f.where("docid % 7 = 0").select("docid", F.lit("add").alias("payload")), f.where("docid % 5 = 0").select("docid")), f"SELECT docid, 'add' AS payload FROM f WHERE docid % 7 = 0 UNION ALL SELECT * FROM ({parts}) WHERE docid % 5 <> 0 AND docid % 7 <> 0")
+    put("payload_latest", lambda f, p: tables.inv_insert(f.select("docid", F.lit(0).alias("type"), F.lit("w").alias("word"), F.lit("old").alias("payload")), f.where("docid % 2 = 0").select("docid", F.lit(0).alias("type"), F.lit("w").alias("word"), F.lit("new").alias("payload"))), "SELECT docid, 0 AS type, 'w' AS word, CASE WHEN docid % 2 = 0 THEN 'new' ELSE 'old' END AS payload FROM f")
+    signs = "SELECT type, word, CASE type WHEN 0 THEN 'term::' ELSE 'cate::' END || word AS whole, min(docid) AS d FROM p GROUP BY type, word"
+    order = f"SELECT *, row_number() OVER (ORDER BY d, type, word) AS id FROM ({signs})"
+    half = lambda a, b: "(" + " + ".join("('0x' || " + " || ".join(f"substr(md5(whole), {8 * i + 2 * k + 1}, 2)" for k in (3, 2, 1, 0)) + ")::BIGINT" for i in (a, b)) + ") % 4294967296"
+    put("sign64", lambda f, p: p.select("type", "word").distinct().withColumn("whole", prefix_concat(F.when(F.col("type") == 0, "term::").otherwise("cate::"), F.col("word"))).select("whole", sign64(F.col("whole"))[0].alias("hi"), sign64(F.col("whole"))[1].alias("lo")), f"SELECT whole, {half(0, 1)} AS hi, {half(2, 3)} AS lo FROM ({signs})")
+    put("sign_record", lambda f, p: tables.dictionary(p, GOODS).select("id", "whole"), f"SELECT id, whole FROM ({order})")
+    put("sign_lookup", lambda f, p: tables.sign_lookup(f.sparkSession.createDataFrame([(0, "red"), (0, "nosuchword")], "type int, word string"), tables.dictionary(p, GOODS)), f"SELECT 0 AS type, w AS word, coalesce(id, 0) AS sign_id FROM (SELECT unnest(['red', 'nosuchword']) AS w) LEFT JOIN ({order}) ON word = w AND type = 0")
+    put("sign_word", lambda f, p: tables.sign_word(f.sparkSession.createDataFrame([(1,), (3,)], "sign_id long"), tables.dictionary(p, GOODS)), f"SELECT id AS sign_id, whole FROM ({order}) WHERE id IN (1, 3)")
+    put("prefix_concat", lambda f, p: p.where("type = 1").select("docid", prefix_concat("cate::", F.col("word")).alias("whole")), "SELECT docid, 'cate::' || word AS whole FROM p WHERE type = 1")
+    put("type_valid", lambda f, p: p.where(F.col("type").isin([i.type for i in GOODS.inverted])).groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM p WHERE type IN (0, 1) GROUP BY type")
+    _put("xlevel_join", lambda s, d: _read(s, d, "lineitem").groupBy(F.col("l_partkey").cast("int").alias("docid")).agg(F.count("*").alias("lines")).join(term_lookup(goods_postings(s, d), "red", 0), "docid").join(goods_forward(s, d).select("docid", "brand_id"), "docid"), GOODS_SQL + "SELECT docid, count(*) AS lines, brand_id FROM lineitem JOIN f ON l_partkey = docid WHERE docid IN (SELECT docid FROM p WHERE type = 0 AND word = 'red') GROUP BY docid, brand_id")
+
+
+def _mutations() -> None:
+    _put("replay_full", lambda s, d: _log_state(s, d).postings.select("docid", "type", "word"), LOG_SQL + "SELECT docid, type, word FROM p")
+    _put("lvl_update", lambda s, d: _rounded(_log_state(s, d).forward), LOG_SQL + _FIELDS)
+    _put("lvl_fwd_update", lambda s, d: _rounded(_log_state(s, d).forward.join(_log_state(s, d).postings.select("docid").distinct(), "docid", "left_anti")), LOG_SQL + f"SELECT * FROM ({_FIELDS}) WHERE docid NOT IN (SELECT docid FROM p)")
+    _put("lvl_delete", lambda s, d: log_lines(s, d).select(F.split("line", "\t")[2].cast("int").alias("oid")).distinct().join(_log_state(s, d).forward, "oid", "left_anti"), LOG_SQL + "SELECT DISTINCT oid FROM e WHERE oid NOT IN (SELECT oid FROM f)")
+
+    def upsert(s: SparkSession, d: str) -> DataFrame:
+        updates = _read(s, d, "part").where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1000000 * (F.col("p_partkey") % 4 == 0).cast("int")).cast("int").alias("oid"), F.lit(7).alias("size"))
+        return tables.fwd_upsert(goods_forward(s, d), updates, GOODS).select("oid", "docid", "brand_id", "size")
+
+    _put("fwd_upsert", upsert, GOODS_SQL + "SELECT oid, docid, brand_id, CASE WHEN oid % 2 = 0 AND oid % 4 <> 0 THEN 7 ELSE size END AS size FROM f UNION ALL SELECT oid + 1000000, oid + 1000000, 0, 7 FROM f WHERE oid % 4 = 0")
+    _put("fwd_delete", lambda s, d: tables.fwd_delete(goods_forward(s, d), goods_forward(s, d).where("size > 25")).select("oid"), GOODS_SQL + "SELECT oid FROM f WHERE NOT size > 25")
+    keys = lambda x: x.select("docid", "type", "word")
+    _put("inv_insert", lambda s, d: keys(tables.inv_insert(goods_postings(s, d), goods_postings(s, d).where("type = 1").withColumn("word", F.lit("new")))), GOODS_SQL + "SELECT docid, type, word FROM p UNION ALL SELECT docid, 1, 'new' FROM p WHERE type = 1")
+    _put("inv_remove_term", lambda s, d: keys(tables.inv_remove_term(goods_postings(s, d), goods_postings(s, d).where("word = 'red'"))), GOODS_SQL + "SELECT docid, type, word FROM p WHERE word <> 'red'")
+    _put("inv_remove_doc", lambda s, d: keys(tables.inv_remove_doc(goods_postings(s, d), term_lookup(goods_postings(s, d), "red", 0))), GOODS_SQL + "SELECT docid, type, word FROM p WHERE docid NOT IN (SELECT docid FROM p WHERE type = 0 AND word = 'red')")
+    _put("inv_rename", lambda s, d: keys(tables.inv_rename(goods_postings(s, d), goods_forward(s, d).where("docid % 2 = 1").select("docid", (F.col("docid") - 1).alias("new_docid")))), GOODS_SQL + "SELECT DISTINCT CASE WHEN docid % 2 = 1 THEN docid - 1 ELSE docid END AS docid, type, word FROM p")
+    _put("log_split", lambda s, d: log_lines(s, d).select("line_no", F.size(log_split("line")).alias("n"), log_split("line")[1].alias("op")), "SELECT event_id AS line_no, CASE event_type WHEN 'error' THEN 3 WHEN 'signup' THEN 5 WHEN 'purchase' THEN 5 ELSE 4 END AS n, CASE event_type WHEN 'error' THEN '1' WHEN 'signup' THEN '0' ELSE '2' END AS op FROM events")
+    _put("optype", lambda s, d: rp.valid_rows(log_lines(s, d), LOG).groupBy("op").agg(F.count("*").alias("n")), "SELECT CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 0 ELSE 2 END AS op, count(*) AS n FROM events GROUP BY 1")
+    _put("num_to_int", lambda s, d: _read(s, d, "events").select("event_id", num_to_int(value_of(json_object(F.concat(F.lit('{"v": '), F.col("value").cast("string"), F.lit("}"))), "v")).alias("v")), "SELECT event_id, CAST(trunc(value) AS INT) AS v FROM events")
+    _put("parse_fwd", lambda s, d: _read(s, d, "events").select("event_id", num_to_int(value_of(rp.parse_forward(F.col("props")), "k")).alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+    _put("parse_inv", lambda s, d: log_lines(s, d).select("line_no", F.explode(rp.parse_inverted(F.get(F.split("line", "\t"), F.lit(4)))).alias("e")).select("line_no", "e.type", "e.word"), "SELECT event_id AS line_no, 0 AS type, event_type AS word FROM events WHERE event_type IN ('signup', 'purchase') UNION ALL SELECT event_id, 0, 'k' || CAST(CAST(json_extract_string(props, '$.k') AS INT) % 10 AS VARCHAR) FROM events WHERE event_type IN ('signup', 'purchase')")
+    _put("b64_decode", lambda s, d: _read(s, d, "part").select("p_partkey", b64_decode(F.base64(F.encode("p_name", "UTF-8"))).cast("string").alias("name")), "SELECT p_partkey, p_name AS name FROM part")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The records of documents with `the` and `for` but not `und`."""
+    found = search(doc_postings(spark, d), "0&1-2", [T0, T1, T2])
+    return _read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(found.withColumnRenamed("docid", "doc_id"), "doc_id")
+
+
+_searches()
+_inspection()
+_goods()
+_mutations()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in _Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _Q.items() if sql is not None}
