@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -106,3 +108,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by an operator's tasks: a Python worker, which Spark uses again for other tasks, keeps the caches of one
+    operator at a time; clear empties those of this one when another takes over."""
+    others = [k for k in _holders if k != name]
+    for k in others:
+        _holders.pop(k)()
+    if others:
+        gc.enable()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+            pass
+    if clear is not None:
+        _holders[name] = clear

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, prepare, runs, stage, unstage
+from .common import bytes_of, mix64, only, prepare, runs, stage, unstage
 from .graph import blocked, components, gathered, grouped
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -157,6 +157,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngrams", _powers.clear)
         for batch in batches:
             for a, b in runs(batch.column(2), 1_000_000):
                 part = batch.slice(a, b - a)

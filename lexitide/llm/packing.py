@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, stage
+from .common import only, prepare, stage
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -219,6 +219,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing", _encoders.clear)
         for batch in batches:
             gc.disable()  # caches of words hold no cycles, and walking them again and again is a third of the time
             for at in range(0, batch.num_rows, 250):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, prepare, runs, stage, unstage
+from .common import bytes_of, mix64, only, prepare, runs, stage, unstage
 from .graph import grouped
 from .ngram_join import powers
 
@@ -138,6 +138,7 @@ def contexts(source: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     whole = source.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repeats")
         for batch in batches:
             data, off = bytes_of(batch.column(2))
             for a in range(0, batch.num_rows, 250):
