@@ -120,11 +120,28 @@ def only(name: str, clear: Callable[[], None] | None = None) -> None:
     for k in others:
         _holders.pop(k)()
     if others:
-        gc.enable()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: freed memory stays with the worker
-            pass
+        trim()
     if clear is not None:
         _holders[name] = clear
+
+
+def trim() -> None:
+    """Give freed memory back to the system; workers that wait for other tasks would keep it."""
+    gc.enable()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with trim() at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task

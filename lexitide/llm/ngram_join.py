@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, only, prepare, runs, stage, unstage
+from .common import bytes_of, mix64, only, prepare, runs, stage, trimmed, unstage
 from .graph import blocked, components, gathered, grouped
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +172,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(size, pa.int64()), listed], names=schema.names)
 
-    base = stage(source.mapInArrow(describe, schema).withColumn("row", F.monotonically_increasing_id()), "ngram-base")
+    base = stage(source.mapInArrow(trimmed(describe), schema).withColumn("row", F.monotonically_increasing_id()), "ngram-base")
     classes = base.groupBy("d1", "d2", "n").agg(F.min(F.struct("row", "id", "t", "bands")).alias("r"), F.count("*").alias("m"), F.min("id").alias("least"))
     classes = stage(classes.select("d1", "d2", "n", "m", "least", F.col("r.row").alias("c"), F.col("r.id").alias("rep"), F.col("r.t").alias("t"), F.col("r.bands").alias("bands")), "ngram-classes")
     hashed = classes.select("c", F.explode("bands").alias("h"))
@@ -199,7 +199,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(links), pa.array(root)], names=["v", "links", "root"])
 
-    links = stage(tasks.mapInArrow(verify, "v long, links long, root long"), "ngram-links")
+    links = stage(tasks.mapInArrow(trimmed(verify), "v long, links long, root long"), "ngram-links")
     unstage(placed)
     joined = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("d1", "d2", "n", "m", "least", "c")

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, prepare, stage
+from .common import only, prepare, stage, trimmed
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 #: Words that each of a worker's caches takes before it turns old and the older one is let go.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Marks that the tokenizer cuts off a word of letters as a piece of their own.
 _STOPS = frozenset(".,;:!?")
 _encoders: dict[str, "Encoder"] = {}
@@ -155,6 +155,10 @@ class Encoder:
         self.words: tuple[dict, dict] = ({}, {})
         self.pieces: tuple[dict, dict] = ({}, {})
 
+    def rest(self) -> None:
+        """Between tasks only the younger caches stay."""
+        self.words, self.pieces = (self.words[0], {}), (self.pieces[0], {})
+
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -232,8 +236,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                         owner.append(i), piece.append(j), start.append(a // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
                 take = pa.array(owner, type=pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
+        if tokenizer_path in _encoders:
+            _encoders[tokenizer_path].rest()
 
-    return docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", order: tuple[str, ...] = ("_row", "piece"), rounds: int = 80) -> DataFrame:

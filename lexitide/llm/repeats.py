@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, only, prepare, runs, stage, unstage
+from .common import bytes_of, mix64, only, prepare, runs, stage, trimmed, unstage
 from .graph import grouped
 from .ngram_join import powers
 
@@ -148,7 +148,7 @@ def contexts(source: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                     rest = [np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *[pa.array(x.view(np.int64)) for x in rest]], names=["t1", "t2", "place", "first", "last", "key"])
 
-    found = stage(source.select("t1", "t2", "text").mapInArrow(choose, _ANCHOR), "repeat-anchors")
+    found = stage(source.select("t1", "t2", "text").mapInArrow(trimmed(choose), _ANCHOR), "repeat-anchors")
     place = F.xxhash64("t1", "t2", "place")
     again = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") > MOST_GATHERED).alias("hot"))
     per_text = found.join(again, "key").groupBy("t1", "t2").agg(F.collect_set(F.struct("place", "first", "last", "key", "hot")).alias("found"))
@@ -171,7 +171,7 @@ def contexts(source: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([some.field(3), batch.column(0).take(pa.array([i] * n)), batch.column(1).take(pa.array([i] * n)), some.field(0), pa.array(place - first), pa.array(pieces, pa.binary()), some.field(4)], names=["key", "t1", "t2", "place", "at", "context", "hot"])
 
     joined = source.join(per_text, mine).select(source["t1"], source["t2"], "text", "found")
-    return whole, joined.mapInArrow(cut, "key long, t1 long, t2 int, place long, at long, context binary, hot boolean")
+    return whole, joined.mapInArrow(trimmed(cut), "key long, t1 long, t2 int, place long, at long, context binary, hot boolean")
 
 
 def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", context: DataFrame | None = None, hulls: bool = False) -> DataFrame:
@@ -235,7 +235,7 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
                 owner = pa.array(np.full(n, i))
                 yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1]), batch.column(1).take(owner), batch.column(2).take(owner), pa.array(np.arange(n) + place[i] - at[i])], names=["s1", "s2", "t1", "t2", "start"])
 
-    out = near.mapInArrow(scan, "t1 long, t2 int, start long, length long, group long")
+    out = near.mapInArrow(trimmed(scan), "t1 long, t2 int, start long, length long, group long")
     far = stage(context.where("hot").mapInArrow(hashed, "s1 long, s2 long, t1 long, t2 int, start long"), "repeat-strings")
     spot = F.xxhash64("t1", "t2", "start")
     twice = far.groupBy("s1", "s2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a < b").select("s1", "s2")
@@ -298,6 +298,6 @@ def removed(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[4:]], *[pa.array([r[k] for r in rows], kinds[k]) for k in range(len(made))]], names=schema.names)
 
-    out = joined.mapInArrow(finish, schema)
+    out = joined.mapInArrow(trimmed(finish), schema)
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(extra)], "n_bytes", "n_removed", "n_spans", "kept_sha256", spans.alias("spans"), *["kept_text"] * kept_text)
