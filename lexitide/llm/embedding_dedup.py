@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,27 @@ BLOCK_ROWS = 2000
 
 def pivots_for(vectors: DataFrame, vector_col: str, least: int = 64, most: int = 4096, per_root: float = 4.0, seed: int = 13) -> list[list[float]]:
     """Reference points: about per_root times the square root of the number of vectors, from least to most, drawn by
-    the hash of the vector, so a vector that repeats is drawn once."""
+    the hash of the vector, so a vector that repeats is drawn once. One that is near another is left out: near copies of
+    one vector would order many pivots among themselves by chance."""
     total = vectors.count()
     want = int(min(most, max(least, per_root * total**0.5)))
     drawn = vectors.where(uniform(F.col(vector_col), seed=seed) < F.lit(min(1.0, 1.3 * want / max(total, 1)))).groupBy(vector_col).agg(F.lit(1)).select(vector_col).limit(2 * most).collect()
     rows = sorted(([float(x) if x is not None else 0.0 for x in r[0]] for r in drawn if r[0]), key=lambda v: (hash(tuple(v)), v))
-    return rows[:want]
+    return spread(rows)[:want]
+
+
+def spread(rows: list[list[float]], near: float = 0.9) -> list[list[float]]:
+    """The rows without those whose cosine with an earlier one that stays is near or more; zero rows stay."""
+    out = set(range(len(rows)))
+    for dim in {len(v) for v in rows}:
+        mine = [i for i, v in enumerate(rows) if len(v) == dim]
+        x = _fit([rows[i] for i in mine], dim).astype(np.float32)
+        open_ = np.ones(len(x), dtype=bool)
+        for k in range(len(x)):
+            if open_[k]:
+                open_[k + 1 :] &= x[k + 1 :] @ x[k] < near
+        out.difference_update(i for i, o in zip(mine, open_.tolist()) if not o)
+    return [rows[i] for i in sorted(out)]
 
 
 def _fit(pivots: list[list[float]], dim: int) -> np.ndarray:
@@ -44,12 +60,19 @@ def nearest(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, near_pivots: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_pivots_for(pivots: int) -> int:
+    """How many nearest pivots describe a vector: six up to 256 pivots and one more for each doubling, ten at 4096, as two
+    vectors share fewer of their nearest pivots the more there are. Random unit vectors of 16 to 768 dimensions at cosine
+    0.9 then share two with a probability of 0.95 or more at every number of pivots."""
+    return 6 + max(0, ceil(log2(max(1, pivots) / 256)))
+
+
+def link(vectors: DataFrame, threshold: float = 0.9, near_pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per vector: id, n_links long (other vectors linked directly), component_id long (least id that links reach, its
     own included) and kept boolean (id = component_id).
 
-    Two vectors are linked if at least two of their near_pivots nearest pivots are the same and their cosine in double
-    precision is at least threshold. Lists are kept by pairs of pivots, so a list holds vectors that share two; a pair
+    Two vectors are linked if at least two of their near_pivots nearest pivots (by the number of pivots, if not given)
+    are the same and their cosine in double precision is at least threshold. Lists are kept by pairs of pivots, so a list holds vectors that share two; a pair
     is counted in the list of its two least shared pivots only. Equal vectors are one entry that counts as often as it
     occurs; long lists are compared in blocks. Vectors that are null, zero, empty or hold null or non-finite components
     link with nothing; vectors of different lengths don't link. Every id, equal or null, is a row of its own; the
@@ -59,7 +82,9 @@ def link(vectors: DataFrame, threshold: float = 0.9, near_pivots: int = 6, id_co
     base = stage(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("row", F.monotonically_increasing_id()).withColumn("v", F.when(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0), None).otherwise(F.col("v"))).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
     good = base.where("v is not null and size(v) > 0")
     classes = stage(good.groupBy("h1", "h2").agg(F.min(F.struct("row", "v")).alias("r"), F.count("*").alias("m"), F.min("id").alias("least")).select("h1", "h2", "m", "least", F.col("r.row").alias("c"), F.col("r.v").alias("v")), "vector-classes")
-    pivots = spark.sparkContext.broadcast(pivots_for(classes, "v"))  # at most 4096 vectors
+    drawn = pivots_for(classes, "v")
+    near_pivots = near_pivots_for(len(drawn)) if near_pivots is None else near_pivots
+    pivots = spark.sparkContext.broadcast(drawn)  # at most 4096 vectors
     names = ["c", "m", "pivots", "v", "lists"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.BinaryType(), T.ArrayType(T.LongType())))])
 

@@ -82,6 +82,20 @@ def test_embeddings(spark):
     assert [got[i][0] for i in (901, 902, 903, 904)] == [0] * 4 and got[None] == got[0] and got[900][1] == 0
 
 
+@pytest.mark.parametrize("pivots", [800, 4096])
+def test_embeddings_recall_at_many_pivots(spark, monkeypatch, pivots):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    drawn = rng.normal(size=(pivots, 64)).tolist()
+    monkeypatch.setattr(embedding_dedup, "pivots_for", lambda *a, **k: drawn)
+    x, z = unit(rng.normal(size=(1500, 64))), rng.normal(size=(1500, 64))
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    c = rng.uniform(0.9, 0.92, (1500, 1))
+    rows = [(i, v) for i, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]).tolist())]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([got[i + 1500] == i for i in range(1500)]) > 0.95
+
+
 def test_mixing_quota(spark):
     assert mixing.quotas([10, 100], [3.0, 1.0], 60, 2.0) == [20.0, 40.0]
     out = queries.op1_mix(spark, "/root/testdata/sf0.01").toPandas()  # the smaller table has ten documents a source: too coarse
