@@ -42,7 +42,7 @@ def element_features(tag: str, attrs: str) -> tuple[str, ...]:
         words = {"t:" + tag}
         if attrs:
             for m in _NAMED.finditer(attrs):
-                words.update("c:" + w.lower().rstrip("s") for w in _PART.findall(m[1] or m[2] or m[3] or "")[:8])
+                words.update("c:" + w.lower().rstrip("s") for w in _PART.findall(m[1] or m[2] or m[3] or ""))
             if "hidden" in attrs or "display:none" in attrs.replace(" ", ""):
                 words.add("c:unseen")
         got = tuple(sorted(words))

@@ -22,24 +22,52 @@ from .common import held_out, mix64, only, prepare, runs, trimmed, uniform
 BITS = 16
 #: Words whose emissions one Python worker keeps before it starts anew.
 CACHE_WORDS = 300_000
+#: Characters of a word that is one observation; a longer word is several.
+LONG = 64
+#: Words whose features are held at a time.
+HELD_WORDS = 20_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _caches: dict[str, tuple[dict, list]] = {}
 
 
 def bare(word: str) -> str:
-    """The word in lower case without marks and digits at its ends; empty if it has no letter."""
+    """The word in lower case without marks and digits at its ends; empty if it has no letter. A piece stays as it is."""
+    if "\n" in word:
+        return word if _LETTER.search(word) else ""
     return word.lower() if word.isalpha() else _EDGES.sub("", word).lower()
 
 
+def pieces(word: str) -> list[str]:
+    """A long word, bare, in pieces of at most LONG characters that share two with the next, so that no run of bytes is
+    lost; a line feed, which no word holds, marks a side that is not the word's own end."""
+    first = _LETTER.search(word)
+    if first is None:
+        return ["-"]
+    word = word[first.start() : len(word) - _LETTER.search(word[::-1]).start()].lower()
+    if len(word) <= LONG:
+        return [word]
+    return ["\n" * (a > 0) + word[a : a + LONG] + "\n" * (a + LONG < len(word)) for a in range(0, len(word) - 2, LONG - 2)]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text between white space; long ones in pieces."""
+    words = text.split()
+    if words and max(map(len, words)) > LONG:
+        return [x for w in words for x in (pieces(w) if len(w) > LONG else (w,))]
+    return words
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, owner): hashed features of bare words, none for empty ones: runs of two and three bytes, beginnings of three
     to five, ends of three to six (the word's two edges count as bytes), and, behind the hashed ones, its place in the
-    lexicon."""
+    lexicon. A piece of a longer word has beginnings or ends only where the word has."""
     heard = np.array([k for k, w in enumerate(words) if w], dtype=np.int64)
     if not len(heard):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = [b"^" + w[:40].encode() + b"$" for w in words if w]
+    raw = [b"^" + w.encode() + b"$" if "\n" not in w else (b"^" * (w[0] != "\n") + w.strip("\n").encode() + b"$" * (w[-1] != "\n")) for w in words if w]
+    opens = np.array([w[0] != "\n" for w in words if w], dtype=bool)
+    closes = np.array([w[-1] != "\n" for w in words if w], dtype=bool)
     size = np.array([len(r) for r in raw], dtype=np.int64)
     data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
     end = np.cumsum(size)
@@ -58,7 +86,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
         ids.append(hashed(wide[inside], n))
         own.append(owner[: len(wide)][inside])
     for n, kind, at in [(3, 11, start), (4, 12, start), (5, 13, start), *[(n, 20 + n, end - n) for n in (3, 4, 5, 6)]]:
-        some = np.flatnonzero(size >= n)
+        some = np.flatnonzero((size >= n) & (opens if kind < 20 else closes))
         value = np.zeros(len(some), np.uint64)
         for k in range(n):
             value |= data[at[some] + k] << np.uint64(8 * k)
@@ -85,7 +113,7 @@ def fit(samples: list[tuple[str, str]], words_per_text: int = 200, chains: int =
     rng = random.Random(seed)
     by: dict[str, list[list[str]]] = {}
     for text, lang in samples:
-        words = [w for w in text.split()]
+        words = words_of(text)
         if len(words) > words_per_text:
             at = rng.randrange(len(words) - words_per_text + 1)
             words = words[at : at + words_per_text]
@@ -131,7 +159,7 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray,
         _caches.clear()
         _caches[model.key] = ({}, [np.zeros((1, K))])
     cache, tables = _caches[model.key]
-    split = [t.split() for t in texts]
+    split = [words_of(t) for t in texts]
     seen: set[str] = set()
     for words in split:
         seen.update(words)
@@ -143,8 +171,11 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray,
     base = sum(map(len, tables))
     cache.update(zip(new, range(base, base + len(new))))
     plain = [bare(w) for w in new]
-    ids, own = features(plain, model.lexicon)
-    made = np.stack([np.bincount(own, weights=model.chain.weights[ids, k], minlength=len(new)) for k in range(K)], axis=1).astype(float)
+    made = np.zeros((len(new), K))
+    for a in range(0, len(new), HELD_WORDS):
+        ids, own = features(plain[a : a + HELD_WORDS], model.lexicon)
+        n_held = len(plain[a : a + HELD_WORDS])
+        made[a : a + n_held] = np.stack([np.bincount(own, weights=model.chain.weights[ids, k], minlength=n_held) for k in range(K)], axis=1)
     made[np.array([not w for w in plain], dtype=bool)] = np.nan  # marks words without letters
     table = np.concatenate([*tables, made]) if len(new) else tables[0]
     tables[:] = [table]
@@ -182,7 +213,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """docs with lang_pred string, score double, shares array<double> (by model.languages), switches long added.
 
     A text that is null or has no letter is `und` with score 0; so is every text if nothing was learned. Each row is
-    judged alone by its whole text; no shuffle.
+    judged alone by its whole text, words of over LONG characters in pieces that each count as a word; no shuffle.
     """
     prepare(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("switches", T.LongType())])

@@ -152,6 +152,26 @@ def test_quality_and_language_held_out(spark):
     assert (x[x.held_out].predicted == x[x.held_out].quality).mean() > 0.95
 
 
+@pytest.mark.parametrize("mark", ["-", "/", "_", ""])
+def test_language_of_a_whole_long_word(mark):
+    rng = np.random.default_rng(6)
+    kinds = {"a": "abcdefg", "b": "tuvwxyz"}
+    word = lambda lang: "".join(rng.choice(list(kinds[lang]), 6))
+    model = langid.fit([(" ".join(word(lang) for _ in range(100)), lang) for lang in "ab" for _ in range(10)], chains=200)
+    text = mark.join([word("a") for _ in range(9)] + [word("b") for _ in range(60)])
+    got, _, share, _ = langid.score_texts(model, [text])
+    assert got == ["b"] and 0.05 < share[0][0] < 0.25
+    ids = [set(langid.features([w], {})[0].tolist()) for w in ("x" * 45 + "ung", "x" * 45 + "ing")]
+    assert ids[0] != ids[1]
+    whole = "".join(rng.choice(list("abcdef"), 300))
+    runs = lambda w: {w[i : i + 3] for i in range(len(w) - 2)}
+    assert set.union(*(runs(p.strip("\n")) for p in langid.pieces(whole))) == runs(whole)
+
+
+def test_html_names_behind_many_others():
+    assert "c:sidebar" in html_extract.element_features("div", ' class="flex grid wide tall soft hard round dark sidebar"')
+
+
 def test_html():
     m = html_extract.default_model(400)
     page = "<html><body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>One &amp; two\n three.</p></article><footer>&copy; us</footer><script>x()</script></body></html>"
