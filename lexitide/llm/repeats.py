@@ -26,14 +26,14 @@ _PIECE = 1 << 21
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def anchors(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, least: int, piece: int = _PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, first, last, key): each string of `least` bytes is given to the leftmost of its GRAM-byte pieces with the
     least scrambled hash; an anchor is such a piece, with the first and last start of the strings given to it. Equal
     strings choose the same piece. Long texts go in overlapping pieces, so memory stays bounded."""
     out = [[], [], [], []]
     w, mask = least - GRAM + 1, np.uint64((1 << 22) - 1)
-    for base in range(0, max(0, len(raw) - least + 1), _PIECE):
-        part = raw[base : base + _PIECE + least - 1]
+    for base in range(0, max(0, len(raw) - least + 1), piece):
+        part = raw[base : base + piece + least - 1]
         n = len(part) - GRAM + 1
         up, down = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
@@ -142,7 +142,7 @@ def contexts(source: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             data, off = bytes_of(batch.column(2))
             for a in range(0, batch.num_rows, 250):
-                got = [(i, *anchors(data[off[i] : off[i + 1]], least)) for i in range(a, min(a + 250, batch.num_rows)) if off[i + 1] - off[i] >= least]
+                got = [(i, *anchors(data[off[i] : off[i + 1]], least, _PIECE)) for i in range(a, min(a + 250, batch.num_rows)) if off[i + 1] - off[i] >= least]
                 if got:
                     owner = pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]))
                     rest = [np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4)]
@@ -187,8 +187,9 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
     def solve(tables: list[pa.Table]) -> pa.RecordBatch | None:
         table = pa.concat_tables(tables).combine_chunks()
         column = lambda c: table.column(c).to_numpy()
-        where = np.stack([column("t1"), column("t2").astype(np.int64), column("place")])
         key, at = column("key"), column("at")
+        # An anchor at the border of two pieces of a long text has two rows, of the strings on either side: they differ in at.
+        where = np.stack([column("t1"), column("t2").astype(np.int64), column("place"), at])
         order = np.lexsort((*where, key))
         new = np.ones(len(order), dtype=bool)  # a row that repeats is one occurrence
         new[1:] = (np.diff(key[order]) != 0) | (np.diff(where[:, order], axis=1) != 0).any(axis=0)

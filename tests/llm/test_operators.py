@@ -67,6 +67,19 @@ def test_repeats(spark, monkeypatch, most):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("piece", [300, 411])
+def test_repeats_at_borders_of_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(repeats, "_PIECE", piece)
+    rng = np.random.default_rng(8)
+    make = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    docs = []
+    for i in range(24):
+        passage = make(200 + 7 * i)
+        docs += [(2 * i, make(40 + 11 * i) + passage + make(300)), (2 * i + 1, make(250 + 23 * i) + passage + make(90))]
+    got = [tuple(r) for r in repeats.removed(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got) == sorted(cuts_by_force([(i, t.encode()) for i, t in docs], 200))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 32))
