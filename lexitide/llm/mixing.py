@@ -92,8 +92,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, m
     sources_col is an array of source names, one document may be in several (nulls are a source of their own; an
     empty or null array is one too, weighing what None weighs). A source's target is its weight's part of share times
     all sizes, at most max_repeats times its size. A pattern that must give F tokens of its total T takes every
-    document F // T times and, in seeded order, whole documents once more until F mod T is met; of the rest, up
-    to three documents close the gap as well as they can. Reruns agree as long as ids and sizes do. Empty documents are
+    document F // T times and, in seeded order, whole documents once more until F mod T is met: those that overshoot are
+    passed over, in rounds over the ones that still fit, until none does; then the nearest one closes the gap if that
+    comes nearer. Reruns agree as long as ids and sizes do. Empty documents are
     taken 0 words. Only patterns (at most max_patterns, else an error) and their sums reach the driver.
     """
     prepare(docs.sparkSession)
@@ -121,26 +122,40 @@ def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, m
         plan.append((m, int(whole), int(rest)))
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(plan, "_m string, _whole int, _rest long"))  # at most max_patterns rows
-    per = keyed.groupBy("_m", "_b").agg(F.sum("_n").alias("bn"))
-    before = F.sum("bn").over(Window.partitionBy("_m").orderBy("_b")) - F.col("bn")
-    edge = per.withColumn("_before", before).join(wanted, "_m").where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("bn") > F.col("_rest"))).select("_m", F.col("_b").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_left"))
-    edge = F.broadcast(stage(edge, "mix-edge"))  # one row a pattern
-    known = keyed.join(wanted, "_m").join(edge, "_m", "left")
-    order = Window.partitionBy("_m", "_b").orderBy("_u", id_col, "_row")
-    fits = known.where(F.col("_b") == F.col("_edge")).withColumn("_cum", F.sum("_n").over(order)).where(F.col("_cum") <= F.col("_left"))
-    fits = stage(fits.select("_row", "_m", "_cum", "_left"), "mix-fits")
-    gaps = known.select("_m", "_left").distinct().where("_left is not null").join(fits.groupBy("_m").agg(F.max("_cum").alias("_got")), "_m", "left").select("_m", (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_gap"))
-    gaps = stage(gaps, "mix-gaps")  # one row a pattern
-    extra = known.join(fits.select("_row", F.lit(True).alias("_fit")), "_row", "left").withColumn("_once", F.coalesce("_fit", F.col("_b") < F.col("_edge"), F.lit(False)))
-    # The gap is closed by the longest document that fits, twice, and then by the one that comes nearest to what is left.
-    left_over, chosen = stage(extra.where(~F.col("_once") & (F.col("_n") > 0)).select("_m", "_n", "_u", id_col, "_row"), "mix-rest"), None
-    for last in (False, False, True):
-        off = F.abs(F.col("_n") - F.col("_gap"))
-        pick = left_over.join(F.broadcast(gaps), "_m").where(off < F.col("_gap") if last else F.col("_n") <= F.col("_gap"))
-        pick = pick.join(F.broadcast(chosen.select("_row")), "_row", "left_anti") if chosen is not None else pick
-        pick = stage(pick.groupBy("_m").agg(F.min(F.struct(off.alias("off"), "_u", id_col, "_row", "_n")).alias("c")).select("_m", "c._row", "c._n"), "mix-closing")  # one row a pattern
-        chosen = pick.select("_row") if chosen is None else chosen.unionByName(pick.select("_row"))
-        gaps = gaps.join(pick, "_m", "left").select("_m", (F.col("_gap") - F.coalesce("_n", F.lit(0))).alias("_gap"))
+    slim = ["_m", "_b", "_u", id_col, "_row", "_n"]
+    gaps = {m: rest for m, _, rest in plan if rest}
+    steps: dict[str, list[tuple[int, int]]] = {m: [] for m in gaps}
+    pool, fits = keyed.where("_n > 0").select(*slim), None
+    while any(gaps.values()):
+        gap = F.broadcast(spark.createDataFrame([(m, g) for m, g in gaps.items() if g], "_m string, _gap long"))
+        pool = pool.join(gap, "_m").where(F.col("_n") <= F.col("_gap"))
+        per = pool.groupBy("_m", "_b").agg(F.sum("_n").alias("bn"), F.first("_gap").alias("_gap"))
+        before = F.sum("bn").over(Window.partitionBy("_m").orderBy("_b")) - F.col("bn")
+        edge = per.withColumn("_before", before).where((F.col("_before") <= F.col("_gap")) & (F.col("_before") + F.col("bn") > F.col("_gap")))
+        edge = F.broadcast(edge.select("_m", F.col("_b").alias("_edge"), (F.col("_gap") - F.col("_before")).alias("_left")))  # one row a pattern
+        within = F.sum("_n").over(Window.partitionBy("_m", "_b").orderBy("_u", id_col, "_row"))
+        pool = pool.join(edge, "_m", "left").withColumn("_edge", F.coalesce("_edge", F.lit(buckets))).withColumn("_cum", within)
+        pool = stage(pool.withColumn("_takes", (F.col("_b") < F.col("_edge")) | ((F.col("_b") == F.col("_edge")) & (F.col("_cum") <= F.col("_left")))), "mix-round")
+        got = pool.where("_takes").groupBy("_m").agg(F.sum("_n"), F.first("_edge")).collect()
+        if not got:
+            break
+        edge_rows = pool.where("_takes and _b = _edge").select("_row")
+        fits = edge_rows if fits is None else fits.unionByName(edge_rows)
+        for m, n, e in got:
+            steps[m].append((gaps[m], e))
+            gaps[m] -= n
+        # What fits nowhere now never will, as gaps shrink; a pattern without a row that fits is done.
+        pool = pool.where(~F.col("_takes")).select(*slim)
+    # A round took every document of at most its gap in the buckets before its edge, and those of the edge that are listed.
+    rounds = F.broadcast(spark.createDataFrame([(m, gaps[m], [{"gap": g, "edge": e} for g, e in x]) for m, x in steps.items()], "_m string, _gap long, _steps array<struct<gap: long, edge: int>>"))
+    known = keyed.join(wanted, "_m").join(rounds, "_m", "left")
+    once = F.exists("_steps", lambda x: (F.col("_n") <= x["gap"]) & (F.col("_b") < x["edge"]))
+    fits = fits if fits is not None else keyed.select("_row").limit(0)
+    extra = known.join(fits.withColumn("_fit", F.lit(True)), "_row", "left").withColumn("_once", F.coalesce(F.col("_fit"), once, F.lit(False)))
+    # The gap left is less than every document that isn't taken; the nearest one is taken if that brings the sum nearer.
+    off = F.abs(F.col("_n") - F.col("_gap"))
+    chosen = extra.where(~F.col("_once") & (F.col("_n") > 0) & (off < F.col("_gap"))).groupBy("_m").agg(F.min(F.struct(off.alias("off"), "_u", id_col, "_row")).alias("c")).select("c._row")
+    chosen = stage(chosen, "mix-closing")  # one row a pattern
     closing = F.broadcast(chosen.withColumn("_closes", F.lit(True)))
     out = extra.join(closing, "_row", "left").withColumn("copies", (F.coalesce("_whole", F.lit(0)) + F.when(F.col("_once") | F.coalesce("_closes", F.lit(False)), 1).otherwise(0)).cast("int"))
     out = out.withColumn("taken", F.col("copies") * F.col("_n")).select(*docs.columns, "taken", "copies")

@@ -116,6 +116,14 @@ def test_mixing_quota(spark):
     assert (abs(by.taken - by.target) <= 0.02 * by.target).all() and (out.taken <= 2 * out["size"]).all()
 
 
+def test_mixing_passes_over_what_overshoots(spark):
+    names = [f"s{k:02d}" for k in range(12)]
+    rows = [(10_000 * k + i, 100 if i else 100_000, [s]) for k, s in enumerate(names) for i in range(2001)]
+    out, plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, size long, sources array<string>"), dict.fromkeys(names, 1.0), share=1.25)
+    taken = {r[0]: r[1] for r in out.groupBy(out.sources[0]).sum("taken").collect()}
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in zip(plan["sources"], plan["targets"]))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
