@@ -27,12 +27,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id; rows with a null id stay, and so does
-    one of the rows that repeat an id."""
-    found = ngram_join.join(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
-    # A kept id that repeats is dealt with by its rows alone: two rows of one id are two documents of one name.
-    kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.min_by(c, F.xxhash64(*COLUMNS)).alias(c) for c in COLUMNS[1:]])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
+    """One row of each group of near copies stays, that with the smallest id, null last; rows that repeat an id or have
+    none are told apart by a number of their own."""
+    rows = stage(docs.select(*COLUMNS).withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(*COLUMNS)}), "near-rows")
+    found = ngram_join.join(rows.select("_row", "text"), id_col="_row").select("_row", "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    kept = found.join(rows.select("_row", order.alias("_order")), "_row").groupBy("class_id").agg(F.min("_order").alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

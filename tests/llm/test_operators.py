@@ -226,3 +226,13 @@ def test_pipeline(spark):
     _, label = links_by_force([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
     assert cp.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_near_copies_of_rows_without_ids_of_their_own(spark):
+    import corpus_pipeline as cp
+
+    texts = [" ".join(f"{k}{w}" for w in range(100)) for k in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (0, texts[0] + " more"), (None, texts[2]), (None, texts[2] + " more"), (5, texts[3]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text[:1]) for r in cp.near_copies(spark, docs, DATA).collect()]
+    assert sorted(kept, key=str) == sorted([(0, "a"), (1, "b"), (None, "c"), (5, "d")], key=str)
