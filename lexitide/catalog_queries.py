@@ -137,6 +137,9 @@ def _inspection() -> None:
     _doc("list_lengths", tables.list_lengths, "SELECT type, word, count(DISTINCT docid) AS n FROM p GROUP BY ALL")
     _doc("list_totals", tables.list_totals, "SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS total_len FROM (SELECT count(DISTINCT docid) AS n FROM p GROUP BY type, word)")
     _doc("list_meta", lambda p: tables.list_meta(p.where("type > 0"), DOC), "SELECT CASE type WHEN 1 THEN 'lang::' ELSE 'source::' END || word || ' : ' || count(DISTINCT docid) AS line FROM p WHERE type > 0 GROUP BY type, word")
+    # The same over all postings, words of texts among them.
+    _doc("words_of_doc_all", lambda p: tables.words_of_doc(p).select("docid", F.array_join("words", " ").alias("words")), "SELECT docid, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM p GROUP BY docid")
+    _doc("list_meta_all", lambda p: tables.list_meta(p, DOC), "SELECT CASE type WHEN 0 THEN 'term::' WHEN 1 THEN 'lang::' ELSE 'source::' END || word || ' : ' || count(DISTINCT docid) AS line FROM p GROUP BY type, word")
     _doc("type_stats", tables.type_stats, "SELECT type, count(*) AS postings, count(DISTINCT word) AS words, count(DISTINCT docid) AS docs FROM p GROUP BY type")
     _doc("cmd_print_list", lambda p: tables.command(p, "print_list en 1"), _has("en", 1))
     _doc("cmd_list_len", lambda p: tables.command(p, "print_list_len the 0"), "SELECT count(*) AS length FROM p WHERE type = 0 AND word = 'the'")
@@ -153,6 +156,7 @@ def _goods() -> None:
     put("get_by_oid", lambda f, p: tables.get_by_oid(f, f.sparkSession.createDataFrame([(i,) for i in ids], "oid int")), f"SELECT CAST(i AS INT) AS oid, coalesce(docid, -1) AS docid FROM (SELECT unnest({ids}) AS i) LEFT JOIN f ON f.oid = i")
     put("fwd_scan", lambda f, p: f.select("oid"), "SELECT oid FROM f")
     put("field_iter", lambda f, p: tables.field_iter(f.drop("price"), Level(2, "goods", GOODS.fields[:2], GOODS.inverted)), "SELECT oid, 0 AS at, 'brand_id' AS name, CAST(brand_id AS VARCHAR) AS value FROM f UNION ALL SELECT oid, 1, 'size', CAST(size AS VARCHAR) FROM f")
+    put("field_iter_all", lambda f, p: tables.field_iter(f, GOODS), "SELECT oid, 0 AS at, 'brand_id' AS name, CAST(brand_id AS VARCHAR) AS value FROM f UNION ALL SELECT oid, 1, 'size', CAST(size AS VARCHAR) FROM f UNION ALL SELECT oid, 2, 'price', CAST(price AS VARCHAR) FROM f")
     parts = "SELECT docid, 'big' AS payload FROM f WHERE docid % 3 <> 0"
     put("lsm_merge", lambda f, p: sets.lsm_merge(f.where("docid % 3 <> 0").select("docid", F.lit("big").alias("payload")), f.where("docid % 7 = 0").select("docid", F.lit("add").alias("payload")), f.where("docid % 5 = 0").select("docid")), f"SELECT docid, 'add' AS payload FROM f WHERE docid % 7 = 0 UNION ALL SELECT * FROM ({parts}) WHERE docid % 5 <> 0 AND docid % 7 <> 0")
     put("payload_latest", lambda f, p: tables.inv_insert(f.select("docid", F.lit(0).alias("type"), F.lit("w").alias("word"), F.lit("old").alias("payload")), f.where("docid % 2 = 0").select("docid", F.lit(0).alias("type"), F.lit("w").alias("word"), F.lit("new").alias("payload"))), "SELECT docid, 0 AS type, 'w' AS word, CASE WHEN docid % 2 = 0 THEN 'new' ELSE 'old' END AS payload FROM f")
