@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitide.catalog import Field, Inverted, Level
-from lexitide.functions.signs import b64_decode, json_object, num_to_int, prefix_concat, sign64, value_of
+from lexitide.functions.signs import b64_decode, json_object, num_to_float, num_to_int, prefix_concat, sign64, value_of
 from lexitide.operators import replay as rp
 from lexitide.operators import sets, tables
 from lexitide.plans.lowering import Term, search, term_lookup
-from lexitide.sources.mutation_log import log_split
-from lexitide.sources.store import level_counts
+from lexitide.sources.mutation_log import log_collect, log_partition, log_split, read_log
+from lexitide.sources.shared import filesystem, new_path, stage
+from lexitide.sources.store import dump_all, level_counts, load, load_dict, load_inv
 
-DOC = Level(10, "doc", (), (Inverted(0, "term::", 4, lambda c: F.encode(F.lpad(c, 4, "0"), "UTF-8")), Inverted(1, "lang::"), Inverted(2, "source::")))
+DOC = Level(10, "doc", (), (Inverted(0, "term::", 8, lambda c: F.encode(F.lpad(c, 8, "0"), "UTF-8")), Inverted(1, "lang::"), Inverted(2, "source::")))
 GOODS = Level(2, "goods", (Field("brand_id", "int"), Field("size", "int"), Field("price", "float")), (Inverted(0, "term::"), Inverted(1, "cate::")))
 LOG = Level(3, "log", (Field("k", "int", -1), Field("value", "float")), (Inverted(0, "term::"),))
 
@@ -24,12 +25,34 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def doc_postings(spark: SparkSession, d: str) -> DataFrame:
+def words_of_texts(spark: SparkSession, d: str) -> DataFrame:
     """(docid, type, word, payload): words of texts with their counts, languages and sources."""
     docs = _read(spark, d, "documents")
-    words = docs.select(F.col("doc_id").alias("docid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).groupBy("docid", "word").agg(F.count("*").cast("int").alias("payload"))
-    one = lambda kind, c: docs.where(F.col(c).isNotNull()).select(F.col("doc_id").alias("docid"), F.lit(kind).alias("type"), F.col(c).alias("word"), F.lit(1).alias("payload"))
-    return words.select("docid", F.lit(0).alias("type"), "word", "payload").unionByName(one(1, "lang")).unionByName(one(2, "source"))
+    words = docs.select(F.col("doc_id").alias("docid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).groupBy("docid", "word").agg(F.count("*").alias("payload"))
+    one = lambda kind, c: docs.where(F.col(c).isNotNull()).select(F.col("doc_id").alias("docid"), F.lit(kind).alias("type"), F.col(c).alias("word"), F.lit(None).cast("binary").alias("payload"))
+    counted = F.encode(F.lpad(F.col("payload").cast("string"), 8, "0"), "UTF-8")
+    return words.select("docid", F.lit(0).alias("type"), "word", counted.alias("payload")).unionByName(one(1, "lang")).unionByName(one(2, "source")).withColumn("docid", F.col("docid").cast("int"))
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def doc_index(spark: SparkSession, d: str) -> str:
+    """Where the level DOC of a folder's documents is stored: it is built once for a folder and application, as queries
+    are put to an index that is there, not to texts."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes or not filesystem(spark, _indexes[key])[0].exists(filesystem(spark, f"{_indexes[key]}/current")[1]):
+        root = new_path(spark, "doc-index")
+        ids = _read(spark, d, "documents").select(F.col("doc_id").cast("int").alias("oid"), F.col("doc_id").cast("int").alias("docid"))
+        dump_all({DOC: rp.State(ids, words_of_texts(spark, d))}, root)
+        _indexes[key] = root
+    return _indexes[key]
+
+
+def doc_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The stored postings of the documents, payloads as numbers: the count of a word, 1 for languages and sources."""
+    stored = load_inv(spark, DOC, doc_index(spark, d))
+    return stored.select(F.col("docid").cast("long").alias("docid"), "type", "word", F.coalesce(F.decode("payload", "UTF-8").cast("int"), F.lit(1)).alias("payload"))
 
 
 DOC_SQL = """WITH tok AS (SELECT doc_id AS docid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents),
@@ -44,11 +67,13 @@ def goods_forward(spark: SparkSession, d: str) -> DataFrame:
 def goods_postings(spark: SparkSession, d: str) -> DataFrame:
     part = _read(spark, d, "part")
     words = part.select(F.col("p_partkey").cast("int").alias("docid"), F.lit(0).alias("type"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
-    return words.unionByName(part.select(F.col("p_partkey").cast("int").alias("docid"), F.lit(1).alias("type"), F.col("p_type").alias("word"))).withColumn("payload", F.lit(None).cast("binary"))
+    both = words.unionByName(part.select(F.col("p_partkey").cast("int").alias("docid"), F.lit(1).alias("type"), F.col("p_type").alias("word")))
+    return both.withColumn("payload", F.encode(F.concat("docid", F.lit(":"), F.length("word")), "UTF-8"))
 
 
 GOODS_SQL = """WITH f AS (SELECT CAST(p_partkey AS INT) AS oid, CAST(p_partkey AS INT) AS docid, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS brand_id, p_size AS size, CAST(p_retailprice AS FLOAT) AS price FROM part),
-p AS (SELECT CAST(p_partkey AS INT) AS docid, 0 AS type, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part UNION ALL SELECT CAST(p_partkey AS INT), 1, p_type FROM part) """
+q AS (SELECT CAST(p_partkey AS INT) AS docid, 0 AS type, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part UNION ALL SELECT CAST(p_partkey AS INT), 1, p_type FROM part),
+p AS (SELECT docid, type, word, docid || ':' || length(word) AS payload FROM q) """
 
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +96,33 @@ p AS (SELECT docid, 0 AS type, a AS word FROM w UNION SELECT docid, 0, b FROM w)
 _FIELDS = "SELECT oid, docid, k, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) AS value FROM f"
 
 
-def _log_state(spark: SparkSession, d: str) -> rp.State:
-    return rp.replay(log_lines(spark, d), LOG)
+def _log_state(spark: SparkSession, d: str, staged: bool = False) -> rp.State:
+    """staged: write what the log comes to, for queries that read it more than once."""
+    if not staged:
+        return rp.replay(log_lines(spark, d), LOG)
+    return rp.state_of(stage(rp.fold(rp.read_rows(log_lines(spark, d), LOG), LOG), "log-changes").where("live"), LOG)
+
+
+_logs: dict[tuple[str, str], str] = {}
+#: Lines of one file of the log that is written for the tests of its reader.
+LINES_PER_FILE = 400
+
+
+def log_files(spark: SparkSession, d: str) -> str:
+    """The glob of the events written as a numbered log, once for a folder and application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _logs or not filesystem(spark, _logs[key])[0].exists(filesystem(spark, _logs[key])[1]):
+        root = new_path(spark, "event-log")
+        lines = log_lines(spark, d).select(F.floor(F.col("line_no") / LINES_PER_FILE).cast("int").alias("n"), "line_no", F.col("line").alias("value"))
+        lines.repartition("n").sortWithinPartitions("n", "line_no").select("n", "value").write.partitionBy("n").text(f"{root}/parts")
+        fs, parts = filesystem(spark, f"{root}/parts")
+        for folder in fs.listStatus(parts):
+            name = folder.getPath().getName()
+            for f in fs.listStatus(folder.getPath()) if name.startswith("n=") else ():  # a file's lines come from one task
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), filesystem(spark, f"{root}/event.{name[2:]}")[1])
+        _logs[key] = root
+    return f"{_logs[key]}/event.*"
 
 
 def _rounded(forward: DataFrame) -> DataFrame:
@@ -123,23 +173,34 @@ def _searches() -> None:
     _put("search_fetch", flagship, DOC_SQL + f", h AS (({the} INTERSECT {for_}) EXCEPT {und}) SELECT doc_id, lang, source, n_chars FROM documents JOIN h ON doc_id = docid")
 
     score = f"SELECT docid, CAST(bit_or(CASE word WHEN 'the' THEN 1 ELSE 2 END) AS BIGINT) AS matched, CAST(sum(payload) AS BIGINT) AS score FROM p WHERE type = 0 AND word IN ('the', 'for') GROUP BY docid"
-    payload = lambda c: c.cast("long")
-    _doc("strategy_and", lambda p: sets.scored(p, "0&1", three, payload), f"SELECT * FROM ({score}) WHERE matched = 3")
-    _doc("strategy_or", lambda p: sets.scored(p, "0|1", three, payload), score)
-    _doc("strategy_diff", lambda p: sets.scored(p, "0-2", three, payload), f"SELECT docid, CAST(1 AS BIGINT) AS matched, CAST(payload AS BIGINT) AS score FROM p WHERE type = 0 AND word = 'the' AND docid NOT IN ({und})")
-    _doc("strategy_reqopt", lambda p: sets.scored(p, "0*1", three, payload), f"SELECT * FROM ({score}) WHERE matched IN (1, 3)")
-    _doc("weight", lambda p: sets.scored(p, "0|1", three, payload, weight=lambda s: s * 2), f"SELECT docid, matched, score * 2 AS score FROM ({score})")
+    counts = sets.Strategy(lambda c: c.cast("long"))
+    _doc("strategy_and", lambda p: sets.scored(p, "0&1", three, counts), f"SELECT * FROM ({score}) WHERE matched = 3")
+    _doc("strategy_or", lambda p: sets.scored(p, "0|1", three, counts), score)
+    _doc("strategy_diff", lambda p: sets.scored(p, "0-2", three, counts), f"SELECT docid, CAST(1 AS BIGINT) AS matched, CAST(payload AS BIGINT) AS score FROM p WHERE type = 0 AND word = 'the' AND docid NOT IN ({und})")
+    _doc("strategy_reqopt", lambda p: sets.scored(p, "0*1", three, counts), f"SELECT * FROM ({score}) WHERE matched IN (1, 3)")
+    _doc("weight", lambda p: sets.scored(p, "0|1", three, sets.Strategy(counts.work, weight=lambda s: s * 2)), f"SELECT docid, matched, score * 2 AS score FROM ({score})")
+    # Nested queries, from counts side by side: only children that match take part.
+    wide = "SELECT docid, max(payload) FILTER (word = 'the') AS a, max(payload) FILTER (word = 'for') AS b, max(payload) FILTER (word = 'und') AS c FROM p WHERE type = 0 AND word IN ('the', 'for', 'und') GROUP BY docid"
+    both = lambda x, y: f"({x} IS NOT NULL AND {y} IS NOT NULL)"
+    ab, a_not_b = both("a", "b"), "(a IS NOT NULL AND b IS NULL)"
+    num = lambda x: f"CAST({x} AS BIGINT)"
+    _doc("strategy_nested_or", lambda p: sets.scored(p, "0&1|2", three, counts), f"SELECT docid, {num(f'if({ab}, 3, 0) + if(c IS NULL, 0, 4)')} AS matched, {num(f'if({ab}, a + b, 0) + coalesce(c, 0)')} AS score FROM ({wide}) WHERE {ab} OR c IS NOT NULL")
+    _doc("strategy_nested_diff", lambda p: sets.scored(p, "(0-1)|2", three, counts), f"SELECT docid, {num(f'if({a_not_b}, 1, 0) + if(c IS NULL, 0, 4)')} AS matched, {num(f'if({a_not_b}, a, 0) + coalesce(c, 0)')} AS score FROM ({wide}) WHERE {a_not_b} OR c IS NOT NULL")
+    best = sets.Strategy(counts.work, and_work=lambda v: F.least(*v), or_work=lambda v: F.greatest(*v))
+    _doc("strategy_kinds", lambda p: sets.scored(p, "(0&1)|2", three, best), f"SELECT docid, {num(f'if({ab}, 3, 0) + if(c IS NULL, 0, 4)')} AS matched, {num(f'greatest(if({ab}, least(a, b), NULL), c)')} AS score FROM ({wide}) WHERE {ab} OR c IS NOT NULL")
+    _doc("dummy", lambda p: sets.scored(p, "0|1", three, sets.DUMMY), f"SELECT docid, matched, CAST(0 AS BIGINT) AS score FROM ({score})")
 
 
 def _inspection() -> None:
-    _doc("words_of_doc", lambda p: tables.words_of_doc(p.where("type > 0")).select("docid", F.array_join("words", " ").alias("words")), "SELECT docid, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM p WHERE type > 0 GROUP BY docid")
+    words = (lambda p: tables.words_of_doc(p).select("docid", F.array_join("words", " ").alias("words")), "SELECT docid, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM p GROUP BY docid")
+    _doc("words_of_doc", *words)
+    _doc("words_of_doc_all", *words)
     _doc("doc_count", lambda p: tables.doc_count(p, p), "SELECT count(DISTINCT docid) AS docs FROM p")
     _doc("list_lengths", tables.list_lengths, "SELECT type, word, count(DISTINCT docid) AS n FROM p GROUP BY ALL")
     _doc("list_totals", tables.list_totals, "SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS total_len FROM (SELECT count(DISTINCT docid) AS n FROM p GROUP BY type, word)")
-    _doc("list_meta", lambda p: tables.list_meta(p.where("type > 0"), DOC), "SELECT CASE type WHEN 1 THEN 'lang::' ELSE 'source::' END || word || ' : ' || count(DISTINCT docid) AS line FROM p WHERE type > 0 GROUP BY type, word")
-    # The same over all postings, words of texts among them.
-    _doc("words_of_doc_all", lambda p: tables.words_of_doc(p).select("docid", F.array_join("words", " ").alias("words")), "SELECT docid, string_agg(DISTINCT word, ' ' ORDER BY word) AS words FROM p GROUP BY docid")
-    _doc("list_meta_all", lambda p: tables.list_meta(p, DOC), "SELECT CASE type WHEN 0 THEN 'term::' WHEN 1 THEN 'lang::' ELSE 'source::' END || word || ' : ' || count(DISTINCT docid) AS line FROM p GROUP BY type, word")
+    meta = (lambda p: tables.list_meta(p, DOC), "SELECT CASE type WHEN 0 THEN 'term::' WHEN 1 THEN 'lang::' ELSE 'source::' END || word || ' : ' || count(DISTINCT docid) AS line FROM p GROUP BY type, word")
+    _doc("list_meta", *meta)
+    _doc("list_meta_all", *meta)
     _doc("type_stats", tables.type_stats, "SELECT type, count(*) AS postings, count(DISTINCT word) AS words, count(DISTINCT docid) AS docs FROM p GROUP BY type")
     _doc("cmd_print_list", lambda p: tables.command(p, "print_list en 1"), _has("en", 1))
     _doc("cmd_list_len", lambda p: tables.command(p, "print_list_len the 0"), "SELECT count(*) AS length FROM p WHERE type = 0 AND word = 'the'")
@@ -155,10 +216,22 @@ def _goods() -> None:
     put("get_by_docid", lambda f, p: tables.get_by_docid(term_lookup(p, "red", 0), f), "SELECT f.* FROM f JOIN p USING (docid) WHERE type = 0 AND word = 'red'")
     put("get_by_oid", lambda f, p: tables.get_by_oid(f, f.sparkSession.createDataFrame([(i,) for i in ids], "oid int")), f"SELECT CAST(i AS INT) AS oid, coalesce(docid, -1) AS docid FROM (SELECT unnest({ids}) AS i) LEFT JOIN f ON f.oid = i")
     put("fwd_scan", lambda f, p: f.select("oid"), "SELECT oid FROM f")
-    put("field_iter", lambda f, p: tables.field_iter(f.drop("price"), Level(2, "goods", GOODS.fields[:2], GOODS.inverted)), "SELECT oid, 0 AS at, 'brand_id' AS name, CAST(brand_id AS VARCHAR) AS value FROM f UNION ALL SELECT oid, 1, 'size', CAST(size AS VARCHAR) FROM f")
-    put("field_iter_all", lambda f, p: tables.field_iter(f, GOODS), "SELECT oid, 0 AS at, 'brand_id' AS name, CAST(brand_id AS VARCHAR) AS value FROM f UNION ALL SELECT oid, 1, 'size', CAST(size AS VARCHAR) FROM f UNION ALL SELECT oid, 2, 'price', CAST(price AS VARCHAR) FROM f")
+    fields = (lambda f, p: tables.field_iter(f, GOODS), "SELECT oid, 0 AS at, 'brand_id' AS name, CAST(brand_id AS VARCHAR) AS value FROM f UNION ALL SELECT oid, 1, 'size', CAST(size AS VARCHAR) FROM f UNION ALL SELECT oid, 2, 'price', CAST(price AS VARCHAR) FROM f")
+    put("field_iter", *fields)
+    put("field_iter_all", *fields)
     parts = "SELECT docid, 'big' AS payload FROM f WHERE docid % 3 <> 0"
     put("lsm_merge", lambda f, p: sets.lsm_merge(f.where("docid % 3 <> 0").select("docid", F.lit("big").alias("payload")), f.where("docid % 7 = 0").select("docid", F.lit("add").alias("payload")), f.where("docid % 5 = 0").select("docid")), f"SELECT docid, 'add' AS payload FROM f WHERE docid % 7 = 0 UNION ALL SELECT * FROM ({parts}) WHERE docid % 5 <> 0 AND docid % 7 <> 0")
+    big = lambda f: f.where("docid % 3 <> 0").select("docid", F.lit("big").alias("payload"))
+    added = lambda f: sets.add_scan(f.where("docid % 7 = 0").select("docid", F.lit(1).alias("seq"), F.lit("old").alias("payload")).unionByName(f.where("docid % 14 = 0").select("docid", F.lit(2).alias("seq"), F.lit("add").alias("payload"))))
+    gone = lambda f: sets.del_scan(f.where("docid % 5 = 0").unionByName(f.where("docid % 10 = 0")))
+    add_sql = "SELECT docid, CASE WHEN docid % 14 = 0 THEN 'add' ELSE 'old' END AS payload FROM f WHERE docid % 7 = 0"
+    either = f"SELECT * FROM ({parts}) WHERE docid % 7 <> 0 UNION ALL {add_sql}"
+    put("add_scan", lambda f, p: added(f), add_sql)
+    put("del_scan", lambda f, p: gone(f), "SELECT docid FROM f WHERE docid % 5 = 0")
+    put("lsm_merge_ts", lambda f, p: sets.lsm_merge_ts(big(f), added(f), gone(f)), f"SELECT * FROM ({either}) WHERE docid % 5 <> 0")
+    put("lsm_or_ts", lambda f, p: sets.lsm_merge_ts(big(f), added(f), None), either)
+    put("lsm_add_diff_ts", lambda f, p: sets.lsm_merge_ts(None, added(f), gone(f)), f"SELECT * FROM ({add_sql}) WHERE docid % 5 <> 0")
+    put("lsm_big_diff_ts", lambda f, p: sets.lsm_merge_ts(big(f), None, gone(f)), f"SELECT * FROM ({parts}) WHERE docid % 5 <> 0")
     put("payload_latest", lambda f, p: tables.inv_insert(f.select("docid", F.lit(0).alias("type"), F.lit("w").alias("word"), F.lit("old").alias("payload")), f.where("docid % 2 = 0").select("docid", F.lit(0).alias("type"), F.lit("w").alias("word"), F.lit("new").alias("payload"))), "SELECT docid, 0 AS type, 'w' AS word, CASE WHEN docid % 2 = 0 THEN 'new' ELSE 'old' END AS payload FROM f")
     signs = "SELECT type, word, CASE type WHEN 0 THEN 'term::' ELSE 'cate::' END || word AS whole, min(docid) AS d FROM p GROUP BY type, word"
     order = f"SELECT *, row_number() OVER (ORDER BY d, type, word) AS id FROM ({signs})"
@@ -166,17 +239,24 @@ def _goods() -> None:
     put("sign64", lambda f, p: p.select("type", "word").distinct().withColumn("whole", prefix_concat(F.when(F.col("type") == 0, "term::").otherwise("cate::"), F.col("word"))).select("whole", sign64(F.col("whole"))[0].alias("hi"), sign64(F.col("whole"))[1].alias("lo")), f"SELECT whole, {half(0, 1)} AS hi, {half(2, 3)} AS lo FROM ({signs})")
     put("sign_record", lambda f, p: tables.dictionary(p, GOODS).select("id", "whole"), f"SELECT id, whole FROM ({order})")
     put("sign_lookup", lambda f, p: tables.sign_lookup(f.sparkSession.createDataFrame([(0, "red"), (0, "nosuchword")], "type int, word string"), tables.dictionary(p, GOODS)), f"SELECT 0 AS type, w AS word, coalesce(id, 0) AS sign_id FROM (SELECT unnest(['red', 'nosuchword']) AS w) LEFT JOIN ({order}) ON word = w AND type = 0")
+    put("sign_record_more", lambda f, p: tables.dictionary(p.where("docid % 2 = 1"), GOODS, known=tables.dictionary(p.where("docid % 2 = 0"), GOODS)).select("id", "whole"), f", s AS ({signs}), e AS (SELECT type, word, min(docid) FILTER (docid % 2 = 0) AS even, min(docid) FILTER (docid % 2 = 1) AS odd FROM p GROUP BY type, word) SELECT row_number() OVER (ORDER BY even IS NULL, coalesce(even, odd), type, word) AS id, whole FROM e JOIN s USING (type, word)")
     put("sign_word", lambda f, p: tables.sign_word(f.sparkSession.createDataFrame([(1,), (3,)], "sign_id long"), tables.dictionary(p, GOODS)), f"SELECT id AS sign_id, whole FROM ({order}) WHERE id IN (1, 3)")
     put("prefix_concat", lambda f, p: p.where("type = 1").select("docid", prefix_concat("cate::", F.col("word")).alias("whole")), "SELECT docid, 'cate::' || word AS whole FROM p WHERE type = 1")
-    put("type_valid", lambda f, p: p.where(F.col("type").isin([i.type for i in GOODS.inverted])).groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM p WHERE type IN (0, 1) GROUP BY type")
+    put("type_valid", lambda f, p: p.where(F.col("type").isin([t for t in range(256) if GOODS.type_valid(t)])).groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM p WHERE type IN (0, 1) GROUP BY type")
     _put("xlevel_join", lambda s, d: _read(s, d, "lineitem").groupBy(F.col("l_partkey").cast("int").alias("docid")).agg(F.count("*").alias("lines")).join(term_lookup(goods_postings(s, d), "red", 0), "docid").join(goods_forward(s, d).select("docid", "brand_id"), "docid"), GOODS_SQL + "SELECT docid, count(*) AS lines, brand_id FROM lineitem JOIN f ON l_partkey = docid WHERE docid IN (SELECT docid FROM p WHERE type = 0 AND word = 'red') GROUP BY docid, brand_id")
 
 
 def _mutations() -> None:
-    _put("replay_full", lambda s, d: _log_state(s, d).postings.select("docid", "type", "word"), LOG_SQL + "SELECT docid, type, word FROM p")
+    keys = lambda x: x.select("docid", "type", "word", F.col("payload").cast("string").alias("payload"))
+    _put("replay_full", lambda s, d: keys(_log_state(s, d).postings), LOG_SQL + "SELECT docid, type, word, CAST(NULL AS VARCHAR) AS payload FROM p")
     _put("lvl_update", lambda s, d: _rounded(_log_state(s, d).forward), LOG_SQL + _FIELDS)
-    _put("lvl_fwd_update", lambda s, d: _rounded(_log_state(s, d).forward.join(_log_state(s, d).postings.select("docid").distinct(), "docid", "left_anti")), LOG_SQL + f"SELECT * FROM ({_FIELDS}) WHERE docid NOT IN (SELECT docid FROM p)")
-    _put("lvl_delete", lambda s, d: log_lines(s, d).select(F.split("line", "\t")[2].cast("int").alias("oid")).distinct().join(_log_state(s, d).forward, "oid", "left_anti"), LOG_SQL + "SELECT DISTINCT oid FROM e WHERE oid NOT IN (SELECT oid FROM f)")
+
+    def without_words(s: SparkSession, d: str) -> DataFrame:
+        state = _log_state(s, d, staged=True)
+        return _rounded(state.forward.join(state.postings.select("docid"), "docid", "left_anti"))
+
+    _put("lvl_fwd_update", without_words, LOG_SQL + f"SELECT * FROM ({_FIELDS}) WHERE docid NOT IN (SELECT docid FROM p)")
+    _put("lvl_delete", lambda s, d: rp.fold(rp.read_rows(log_lines(s, d), LOG), LOG).where("not live").select("oid"), LOG_SQL + "SELECT DISTINCT oid FROM e WHERE oid NOT IN (SELECT oid FROM f)")
 
     def upsert(s: SparkSession, d: str) -> DataFrame:
         updates = _read(s, d, "part").where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1000000 * (F.col("p_partkey") % 4 == 0).cast("int")).cast("int").alias("oid"), F.lit(7).alias("size"))
@@ -184,17 +264,83 @@ def _mutations() -> None:
 
     _put("fwd_upsert", upsert, GOODS_SQL + "SELECT oid, docid, brand_id, CASE WHEN oid % 2 = 0 AND oid % 4 <> 0 THEN 7 ELSE size END AS size FROM f UNION ALL SELECT oid + 1000000, oid + 1000000, 0, 7 FROM f WHERE oid % 4 = 0")
     _put("fwd_delete", lambda s, d: tables.fwd_delete(goods_forward(s, d), goods_forward(s, d).where("size > 25")).select("oid"), GOODS_SQL + "SELECT oid FROM f WHERE NOT size > 25")
-    keys = lambda x: x.select("docid", "type", "word")
-    _put("inv_insert", lambda s, d: keys(tables.inv_insert(goods_postings(s, d), goods_postings(s, d).where("type = 1").withColumn("word", F.lit("new")))), GOODS_SQL + "SELECT docid, type, word FROM p UNION ALL SELECT docid, 1, 'new' FROM p WHERE type = 1")
-    _put("inv_remove_term", lambda s, d: keys(tables.inv_remove_term(goods_postings(s, d), goods_postings(s, d).where("word = 'red'"))), GOODS_SQL + "SELECT docid, type, word FROM p WHERE word <> 'red'")
-    _put("inv_remove_doc", lambda s, d: keys(tables.inv_remove_doc(goods_postings(s, d), term_lookup(goods_postings(s, d), "red", 0))), GOODS_SQL + "SELECT docid, type, word FROM p WHERE docid NOT IN (SELECT docid FROM p WHERE type = 0 AND word = 'red')")
-    _put("inv_rename", lambda s, d: keys(tables.inv_rename(goods_postings(s, d), goods_forward(s, d).where("docid % 2 = 1").select("docid", (F.col("docid") - 1).alias("new_docid")))), GOODS_SQL + "SELECT DISTINCT CASE WHEN docid % 2 = 1 THEN docid - 1 ELSE docid END AS docid, type, word FROM p")
+    fresh = lambda p: p.where("type = 1").withColumn("word", F.when(F.col("docid") % 2 == 0, F.col("word")).otherwise("new")).withColumn("payload", F.encode(F.lit("x"), "UTF-8"))
+    _put("inv_insert", lambda s, d: keys(tables.inv_insert(goods_postings(s, d), fresh(goods_postings(s, d)))), GOODS_SQL + "SELECT docid, type, word, CASE WHEN type = 1 AND docid % 2 = 0 THEN 'x' ELSE payload END AS payload FROM p UNION ALL SELECT docid, 1, 'new', 'x' FROM p WHERE type = 1 AND docid % 2 = 1")
+    _put("inv_remove_term", lambda s, d: keys(tables.inv_remove_term(goods_postings(s, d), goods_postings(s, d).where("word = 'red'"))), GOODS_SQL + "SELECT docid, type, word, payload FROM p WHERE word <> 'red'")
+    _put("inv_remove_doc", lambda s, d: keys(tables.inv_remove_doc(goods_postings(s, d), term_lookup(goods_postings(s, d), "red", 0))), GOODS_SQL + "SELECT docid, type, word, payload FROM p WHERE docid NOT IN (SELECT docid FROM p WHERE type = 0 AND word = 'red')")
+    _put("inv_rename", lambda s, d: keys(tables.inv_rename(goods_postings(s, d), goods_forward(s, d).where("docid % 2 = 1").select("docid", (F.col("docid") - 1).alias("new_docid")))), GOODS_SQL + "SELECT CASE WHEN docid % 2 = 1 THEN docid - 1 ELSE docid END AS docid, type, word, arg_max(payload, p.docid % 2) AS payload FROM p GROUP BY 1, 2, 3")
     _put("log_split", lambda s, d: log_lines(s, d).select("line_no", F.size(log_split("line")).alias("n"), log_split("line")[1].alias("op")), "SELECT event_id AS line_no, CASE event_type WHEN 'error' THEN 3 WHEN 'signup' THEN 5 WHEN 'purchase' THEN 5 ELSE 4 END AS n, CASE event_type WHEN 'error' THEN '1' WHEN 'signup' THEN '0' ELSE '2' END AS op FROM events")
     _put("optype", lambda s, d: rp.valid_rows(log_lines(s, d), LOG).groupBy("op").agg(F.count("*").alias("n")), "SELECT CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 0 ELSE 2 END AS op, count(*) AS n FROM events GROUP BY 1")
     _put("num_to_int", lambda s, d: _read(s, d, "events").select("event_id", num_to_int(value_of(json_object(F.concat(F.lit('{"v": '), F.col("value").cast("string"), F.lit("}"))), "v")).alias("v")), "SELECT event_id, CAST(trunc(value) AS INT) AS v FROM events")
     _put("parse_fwd", lambda s, d: _read(s, d, "events").select("event_id", num_to_int(value_of(rp.parse_forward(F.col("props")), "k")).alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
     _put("parse_inv", lambda s, d: log_lines(s, d).select("line_no", F.explode(rp.parse_inverted(F.get(F.split("line", "\t"), F.lit(4)))).alias("e")).select("line_no", "e.type", "e.word"), "SELECT event_id AS line_no, 0 AS type, event_type AS word FROM events WHERE event_type IN ('signup', 'purchase') UNION ALL SELECT event_id, 0, 'k' || CAST(CAST(json_extract_string(props, '$.k') AS INT) % 10 AS VARCHAR) FROM events WHERE event_type IN ('signup', 'purchase')")
     _put("b64_decode", lambda s, d: _read(s, d, "part").select("p_partkey", b64_decode(F.base64(F.encode("p_name", "UTF-8"))).cast("string").alias("name")), "SELECT p_partkey, p_name AS name FROM part")
+    _put("unpack_bin", lambda s, d: _binaries(s, d).forward.select("oid", F.decode("raw", "UTF-8").alias("raw")), "SELECT CAST(p_partkey AS INT) AS oid, p_name AS raw FROM part")
+    _put("json_to_proto", lambda s, d: _messages(s, d).forward.select("oid", "msg.i32", "msg.str", F.array_join("msg.ivec", ",").alias("ivec")), "SELECT CAST(p_partkey AS INT) AS oid, p_size AS i32, p_name AS str, p_size || ',' || p_partkey AS ivec FROM part")
+    _put("payload_parser", lambda s, d: keys(rp.replay(_with_payloads(s, d), PAID).postings), _PAID_SQL + "SELECT docid, 0 AS type, t AS word, lpad(CAST(k AS VARCHAR), 4, '0') AS payload FROM r")
+    _put("id_mapper", lambda s, d: rp.replay(_with_payloads(s, d), MAPPED).postings.select("docid", "word"), _PAID_SQL + "SELECT docid * 2 + 1 AS docid, t AS word FROM r")
+    _put("fwd_floats", lambda s, d: _read(s, d, "events").select("event_id", F.round(num_to_float(value_of(json_object(F.concat(F.lit('{"v": '), F.col("value").cast("string"), F.lit("}"))), "v")).cast("double"), 2).alias("v")), "SELECT event_id, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) AS v FROM events")
+
+
+#: The events' log as its reader gives it.
+_FILES_SQL = f"""WITH l AS (SELECT event_id // {LINES_PER_FILE} AS file_no, row_number() OVER (PARTITION BY event_id // {LINES_PER_FILE} ORDER BY event_id) - 1 AS line_no,
+CASE event_type WHEN 'error' THEN 3 WHEN 'signup' THEN 5 WHEN 'purchase' THEN 5 ELSE 4 END AS n, CAST(user_id AS VARCHAR) AS oid FROM events) """
+
+
+def _reader() -> None:
+    shown = lambda lines: lines.select("file_no", "line_no", F.size(log_split("line")).alias("n"), log_split("line")[2].alias("oid"))
+    want = "SELECT CAST(file_no AS INT) AS file_no, CAST(line_no AS INT) AS line_no, n, oid FROM l"
+    _put("log_source", lambda s, d: shown(read_log(s, log_files(s, d))), _FILES_SQL + want)
+    _put("log_resume", lambda s, d: shown(read_log(s, log_files(s, d), (0, 299))), _FILES_SQL + want + " WHERE file_no > 0 OR line_no > 299")
+    _put("log_collect", lambda s, d: shown(log_collect(read_log(s, log_files(s, d)), 700)), _FILES_SQL + want + " ORDER BY file_no, line_no LIMIT 700")
+    _put("log_partition", lambda s, d: shown(log_partition(read_log(s, log_files(s, d)), 1, 2)), _FILES_SQL + want + " WHERE file_no % 2 = 1")
+    _put("log_replay", lambda s, d: _rounded(rp.replay(read_log(s, log_files(s, d)), LOG).forward), LOG_SQL + _FIELDS)
+
+
+def _stored() -> None:
+    """Levels that are dumped, changed and loaded again."""
+
+    def dumped(s: SparkSession, d: str) -> str:
+        root = new_path(s, "levels")
+        half = lambda lines, k: lines.where(F.col("line_no") % 2 == k)
+        goods = rp.State(goods_forward(s, d), goods_postings(s, d))
+        dump_all({GOODS: goods, LOG: rp.replay(half(log_lines(s, d), 0), LOG)}, root, (0, 0), 0, {GOODS: tables.dictionary(goods.postings, GOODS)})
+        return root
+
+    _put("dump_load_fwd", lambda s, d: load(s, GOODS, dumped(s, d)).forward.select("oid", "docid", "brand_id", "size"), GOODS_SQL + "SELECT oid, docid, brand_id, size FROM f")
+    _put("dump_load_inv", lambda s, d: load(s, GOODS, dumped(s, d)).postings.select("docid", "type", "word", F.col("payload").cast("string").alias("payload")), GOODS_SQL + "SELECT docid, type, word, payload FROM p")
+    _put("dump_load_dict", lambda s, d: load_dict(s, GOODS, dumped(s, d)).select("id", "whole"), GOODS_SQL + "SELECT row_number() OVER (ORDER BY min(docid), type, word) AS id, CASE type WHEN 0 THEN 'term::' ELSE 'cate::' END || word AS whole FROM p GROUP BY type, word")
+
+
+BINARIES = Level(5, "binaries", (Field("raw", "binary"),))
+MESSAGES = Level(6, "messages", (Field("msg", "proto", message="struct<i32:int,str:string,ivec:array<int>>"),))
+PAID = Level(7, "paid", (), (Inverted(0, "term::", 4, lambda c: F.encode(F.lpad(c, 4, "0"), "UTF-8")),))
+MAPPED = Level(7, "mapped", (), PAID.inverted, lambda oid: oid * 2 + 1)
+
+
+def _part_lines(spark: SparkSession, d: str, level: Level, forward: dict[str, object]) -> DataFrame:
+    """A line for each part, with a forward object of the given keys."""
+    text = F.to_json(F.struct(*[c.alias(k) for k, c in forward.items()]))
+    return _read(spark, d, "part").select(F.lit(0).alias("file_no"), F.col("p_partkey").alias("line_no"), F.concat_ws("\t", F.lit(str(level.level)), F.lit("0"), F.col("p_partkey").cast("string"), text).alias("line"))
+
+
+def _binaries(spark: SparkSession, d: str) -> rp.State:
+    return rp.replay(_part_lines(spark, d, BINARIES, {"raw": F.base64(F.encode("p_name", "UTF-8"))}), BINARIES)
+
+
+def _messages(spark: SparkSession, d: str) -> rp.State:
+    message = F.struct(F.col("p_size").alias("i32"), F.col("p_name").alias("str"), F.array(F.col("p_size").cast("long"), "p_partkey").alias("ivec"))
+    return rp.replay(_part_lines(spark, d, MESSAGES, {"msg": message}), MESSAGES)
+
+
+def _with_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """The events as full rows of a level whose words have payloads."""
+    e = _read(spark, d, "events")
+    inv = F.concat(F.lit('{"0": {"'), F.col("event_type"), F.lit('": '), F.get_json_object("props", "$.k"), F.lit("}}"))
+    return e.select(F.lit(0).alias("file_no"), F.col("event_id").alias("line_no"), F.concat_ws("\t", F.lit("7"), F.lit("0"), F.col("user_id").cast("string"), F.lit("{}"), inv).alias("line"))
+
+
+_PAID_SQL = "WITH r AS (SELECT CAST(user_id AS INT) AS docid, arg_max(event_type, event_id) AS t, arg_max(CAST(json_extract_string(props, '$.k') AS INT), event_id) AS k FROM events GROUP BY user_id) "
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -207,6 +353,8 @@ _searches()
 _inspection()
 _goods()
 _mutations()
+_reader()
+_stored()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexitide.catalog import MOST_WORD
 
@@ -31,29 +32,40 @@ def b64_decode(text: Column) -> Column:
     return F.try_to_binary(text, F.lit("base64"))
 
 
-NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$"
-
-
 def json_object(text: Column) -> Column:
     """map<string, variant> of a JSON object, null for anything else."""
     return F.from_json(text, "map<string,variant>", {"allowNonNumericNumbers": "false"})
 
 
+def json_fields(text: Column, names: list[str]) -> Column:
+    """A struct with the variants of the named keys of a JSON object, null where a key isn't there; of a key that repeats,
+    the last one. One parse gives all of them."""
+    return F.from_json(text, T.StructType([T.StructField(n, T.VariantType()) for n in names]), {"allowNonNumericNumbers": "false"})
+
+
 def value_of(entries: Column, name: str) -> Column:
-    """The variant of a key, null if it isn't there; of a key that repeats, the last one."""
+    """The variant of a key of a map, null if it isn't there; of a key that repeats, the last one."""
     mine = F.filter(F.map_entries(entries), lambda e: e["key"] == F.lit(name))
     return F.when(F.size(mine) > 0, F.element_at(mine, -1)["value"])
 
 
-def is_kind(value: Column, pattern: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike(pattern), F.lit(False))
+def is_kind(value: Column, *kinds: str) -> Column:
+    """Whether a variant's type is one of kinds, or begins with one that ends in *."""
+    name, out = F.schema_of_variant(value), F.lit(False)
+    for k in kinds:
+        out = out | (name.startswith(k[:-1]) if k.endswith("*") else name == k)
+    return F.coalesce(out, F.lit(False))
+
+
+def is_number(value: Column) -> Column:
+    return is_kind(value, "BIGINT", "DOUBLE", "DECIMAL*", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
 def num_to_int(value: Column) -> Column:
     """A JSON number cut to an int; null for other kinds and for numbers beyond 32 bits."""
-    x = F.when(is_kind(value, NUMBER), F.try_variant_get(value, "$", "double"))
+    x = F.when(is_number(value), F.try_variant_get(value, "$", "double"))
     return F.when(F.abs(x) < 2147483648.0, x.cast("int"))
 
 
 def num_to_float(value: Column) -> Column:
-    return F.when(is_kind(value, NUMBER), F.try_variant_get(value, "$", "double")).cast("float")
+    return F.when(is_number(value), F.try_variant_get(value, "$", "double")).cast("float")

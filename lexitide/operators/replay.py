@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.catalog import MOST_BINARY, MOST_TYPE, MOST_WORD, POSTINGS, Level
-from lexitide.functions.signs import b64_decode, is_kind, json_object, num_to_float, num_to_int, value_of
+from lexitide.functions.signs import b64_decode, is_kind, json_fields, json_object, num_to_float, num_to_int
 from lexitide.sources.mutation_log import log_split
 
 INSERT, DELETE, UPDATE = 0, 1, 2
@@ -20,69 +20,90 @@ _ENTRIES = "array<struct<type:int,word:string,payload:string>>"
 
 def parse_forward(text: Column) -> Column:
     """map<string, variant> of a forward object; null if it isn't an object, a value is an array or a key is empty."""
-    m = json_object(text)
-    bad = F.exists(F.map_entries(m), lambda e: (e["key"] == "") | is_kind(e["value"], "^ARRAY"))
-    return F.when(~bad, m)
+    return F.try_element_at(F.filter(F.array(json_object(text)), lambda m: ~F.exists(F.map_entries(m), lambda e: (e["key"] == "") | is_kind(e["value"], "ARRAY*"))), F.lit(1))
 
 
 def parse_inverted(text: Column) -> Column:
     """array<struct<type, word, payload>> of {"type": {"word": payload}} or {"type": ["word"]}; null if any part of it
     has another shape. payload is the JSON text of the value, null in the second form."""
-    m = json_object(text)
-    number = lambda k: k.rlike(r"^\d{1,3}$") & (k.try_cast("int") <= 255)
-    good = F.forall(F.map_entries(m), lambda e: number(e["key"]) & (is_kind(e["value"], "^OBJECT") | is_kind(e["value"], r"^ARRAY<(STRING|VOID)>$") & ~F.to_json(e["value"]).rlike(r"[\[,]null[\],]")))
 
     def of(e: Column) -> Column:
-        kind, whole = e["key"].try_cast("int").alias("type"), F.to_json(e["value"])
-        words = F.transform(F.from_json(whole, "array<string>"), lambda w: F.struct(kind, w.alias("word"), F.lit(None).cast("string").alias("payload")))
-        pairs = F.transform(F.map_entries(json_object(whole)), lambda p: F.struct(kind, p["key"].alias("word"), F.to_json(p["value"]).alias("payload")))
-        return F.when(is_kind(e["value"], "^OBJECT"), pairs).otherwise(words)
+        number = F.when(e["key"].rlike(r"^\d{1,3}$"), e["key"].cast("int"))
+        return F.struct(F.when(number <= 255, number).alias("type"), F.schema_of_variant(e["value"]).alias("kind"), F.to_json(e["value"]).alias("json"))
 
-    return F.when(good, F.flatten(F.transform(F.map_entries(m), of))).cast(_ENTRIES)
+    def words(e: Column) -> Column:
+        listed = F.transform(F.from_json(e["json"], "array<string>"), lambda w: F.struct(e["type"].alias("type"), w.alias("word"), F.lit(None).cast("string").alias("payload")))
+        pairs = F.transform(F.map_entries(json_object(e["json"])), lambda p: F.struct(e["type"].alias("type"), p["key"].alias("word"), F.to_json(p["value"]).alias("payload")))
+        return F.when(e["kind"].startswith("OBJECT"), pairs).otherwise(listed)
 
+    # A null among strings hides in ARRAY<STRING>.
+    good = lambda e: e["type"].isNotNull() & (e["kind"].startswith("OBJECT") | e["kind"].isin("ARRAY<STRING>", "ARRAY<VOID>") & ~e["json"].rlike(r"[\[,]null[\],]"))
+    entries = F.transform(F.map_entries(json_object(text)), of)
+    whole = F.try_element_at(F.filter(F.array(entries), lambda es: F.forall(es, lambda e: F.coalesce(good(e), F.lit(False)))), F.lit(1))
+    return F.flatten(F.transform(whole, words)).cast(_ENTRIES)
 
-def _field(level_field, m: Column) -> tuple[Column, Column]:
-    """(value or null if it isn't given, whether the row fails by it)."""
-    v = value_of(m, level_field.name)
+
+def _field(level_field, values: Column) -> tuple[Column, Column]:
+    """(value or null if it isn't given, whether the row fails by it); values: json_fields() of the row."""
+    v = values[level_field.name]
     if level_field.kind == "int":
         return num_to_int(v), F.lit(False)
     if level_field.kind == "float":
         return num_to_float(v), F.lit(False)
-    text = F.when(is_kind(v, "^STRING$"), F.try_variant_get(v, "$", "string"))
+    text = F.when(is_kind(v, "STRING"), F.try_variant_get(v, "$", "string"))
     if level_field.kind == "binary":
         raw = b64_decode(text)
         return raw, v.isNotNull() & (raw.isNull() | (F.octet_length(raw) > MOST_BINARY))
-    message = F.from_json(F.coalesce(text, F.when(is_kind(v, "^OBJECT"), F.to_json(v))), level_field.type, {"mode": "PERMISSIVE"})
-    return message, v.isNotNull() & (message.isNull() | ~(is_kind(v, "^OBJECT") | json_object(text).isNotNull()))
+    message = json_to_proto(F.coalesce(text, F.when(is_kind(v, "OBJECT*"), F.to_json(v))), level_field.type)
+    return message, v.isNotNull() & message.isNull()
 
 
-def valid_rows(lines: DataFrame, level: Level, base: bool = False) -> DataFrame:
-    """(seq, op, oid, fields, inv) of the lines of a level that count; rows of another shape, with ids beyond 31 bits,
-    unknown operations, bad JSON or a bad binary or message field are left out. inv is null for forward-only rows."""
-    cols = log_split("line", base)
-    rows = lines.select(F.struct("file_no", "line_no").alias("seq"), cols.alias("c")).where(F.size("c") >= 3)
+def json_to_proto(text: Column, kind) -> Column:
+    """A message of a struct type from the JSON text of an object, null if it is none."""
+    return F.when(json_object(text).isNotNull(), F.from_json(text, kind, {"mode": "PERMISSIVE"}))
+
+
+def once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """df with the columns of keep and those made, each evaluated once a row: the optimiser would else write what they are
+    made from into every place, filters among them, that they are used in."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
+def read_rows(lines: DataFrame, level: Level, base: bool = False) -> DataFrame:
+    """(seq, op, oid, fields, inv) of the lines of a level; op is null for rows that don't count: those of another shape,
+    with unknown operations, bad JSON or a bad binary or message field. Lines of other levels or with ids beyond 31 bits
+    are left out. inv is null for forward-only rows. What JSON decides is no filter, as a filter would parse it twice."""
+    rows = once(lines.select("line", F.struct("file_no", "line_no").alias("seq")), ["seq"], c=log_split("line", base)).where(F.size("c") >= 3)
     number = lambda i: F.when(F.col("c")[i].rlike(r"^\d{1,10}$"), F.col("c")[i].cast("long"))
-    rows = rows.select("seq", F.size("c").alias("n"), number(0).alias("level"), number(1).alias("op"), number(2).alias("oid"), F.try_element_at("c", F.lit(4)).alias("fwd"), F.try_element_at("c", F.lit(5)).alias("inv"))
+    rows = once(rows, ["seq", "c"], n=F.size("c"), level=number(0), op=number(1), oid=number(2), fwd=F.try_element_at("c", F.lit(4)), inv=F.try_element_at("c", F.lit(5))).drop("c")
     rows = rows.where((F.col("level") == level.level) & (F.col("oid") < 1 << 31) & ((F.col("op") == DELETE) | (F.col("op").isin(INSERT, UPDATE) & F.col("n").isin(4, 5))))
     gone = F.col("op") == DELETE
-    rows = rows.withColumns({"m": F.when(~gone, parse_forward(F.col("fwd"))), "k": F.when(~gone & (F.col("n") == 5), parse_inverted(F.col("inv")))})
-    fields = [_field(f, F.col("m")) for f in level.fields]
+    rows = once(rows, ["seq", "op", "oid", "n"], m=F.when(~gone, parse_forward(F.col("fwd")).isNotNull()), s=F.when(~gone, json_fields(F.col("fwd"), [f.name for f in level.fields])), k=F.when(~gone & (F.col("n") == 5), parse_inverted(F.col("inv"))))
+    fields = [_field(f, F.col("s")) for f in level.fields]
     fails = F.lit(False)
     for _, bad in fields:
         fails = fails | bad
-    good = gone | (F.col("m").isNotNull() & ((F.col("n") == 4) | F.col("k").isNotNull()) & ~fails)
-    return rows.where(good).select("seq", F.col("op").cast("int").alias("op"), F.col("oid").cast("int").alias("oid"), *[F.when(~gone, v).alias(f"f{i}") for i, (v, _) in enumerate(fields)], F.col("k").alias("inv"))
+    good = gone | (F.col("m") & ((F.col("n") == 4) | F.col("k").isNotNull()) & ~fails)
+    rows = once(rows, ["seq", "oid", "k"], op=F.when(good, F.col("op")).cast("int"), **{f"f{i}": v for i, (v, _) in enumerate(fields)})
+    kept = F.col("op").isNotNull() & (F.col("op") != DELETE)
+    return rows.select("seq", "op", F.col("oid").cast("int").alias("oid"), *[F.when(kept, F.col(f"f{i}")).alias(f"f{i}") for i in range(len(fields))], F.when(kept, F.col("k")).alias("inv"))
+
+
+def valid_rows(lines: DataFrame, level: Level, base: bool = False) -> DataFrame:
+    """The rows of read_rows() that count."""
+    return read_rows(lines, level, base).where("op is not null")
 
 
 def fold(rows: DataFrame, level: Level) -> DataFrame:
-    """One row for each outer id: reset (a delete is among the rows), live, the fields given since, and the keywords of
-    the last full row since (null if there is none). One shuffle, with partial results before it."""
-    gone = F.col("op") == DELETE
+    """One row for each outer id that has a row that counts: reset (a delete is among the rows), live, the fields given
+    since, and the keywords of the last full row since (null if there is none). One shuffle, with partial results before it."""
+    gone = F.coalesce(F.col("op") == DELETE, F.lit(False))
+    seq = F.when(F.col("op").isNotNull(), F.col("seq"))
     last = lambda v, given: F.max_by(F.when(gone | given, F.struct(gone.alias("gone"), v.alias("v"))), F.when(gone | given, F.col("seq")))
     aggs = [last(F.col(f"f{i}"), F.col(f"f{i}").isNotNull()).alias(f"f{i}") for i in range(len(level.fields))]
-    out = rows.groupBy("oid").agg(F.max(gone).alias("reset"), (~F.max_by(gone, "seq")).alias("live"), *aggs, last(F.col("inv"), F.col("inv").isNotNull()).alias("inv"))
+    out = rows.groupBy("oid").agg(F.max(gone).alias("reset"), (~F.max_by(gone, seq)).alias("live"), *aggs, last(F.col("inv"), F.col("inv").isNotNull()).alias("inv"))
     since = lambda c: F.when(~F.col(c)["gone"], F.col(c)["v"]).alias(c)
-    return out.select("oid", "reset", "live", *[since(f"f{i}") for i in range(len(level.fields))], since("inv"))
+    return out.where("live is not null").select("oid", "reset", "live", *[since(f"f{i}") for i in range(len(level.fields))], since("inv"))
 
 
 def keywords(entries: DataFrame, level: Level) -> DataFrame:
@@ -119,7 +140,7 @@ def empty(spark, level: Level) -> State:
 
 def apply(state: State, lines: DataFrame, level: Level, base: bool = False) -> State:
     """The state after a batch of lines. Full rows replace all keywords of their document, forward-only rows keep them."""
-    change = fold(valid_rows(lines, level, base), level)
+    change = fold(read_rows(lines, level, base), level)
     return _apply(state, change, level)
 
 
@@ -140,7 +161,11 @@ def _apply(state: State, change: DataFrame, level: Level) -> State:
 
 def replay(lines: DataFrame, level: Level, base: bool = False) -> State:
     """The state after a whole log; nothing is joined, as there is no state before."""
-    change = fold(valid_rows(lines, level, base), level).where("live")
+    return state_of(fold(read_rows(lines, level, base), level).where("live"), level)
+
+
+def state_of(change: DataFrame, level: Level) -> State:
+    """The state that live rows of fold() make where there was none before."""
     docid = (level.id_mapper(F.col("oid")) if level.id_mapper else F.col("oid")).cast("int")
     fields = [(F.coalesce(F.col(f"f{i}"), F.lit(f.start).cast(f.type)) if f.kind in ("int", "float") else F.col(f"f{i}")).alias(f.name) for i, f in enumerate(level.fields)]
     return State(change.select("oid", docid.alias("docid"), *fields), keywords(change.where("inv is not null").select(docid.alias("docid"), "inv"), level))

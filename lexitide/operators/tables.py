@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexitide.catalog import Level
 from lexitide.functions.signs import prefix_concat, sign64
+from lexitide.sources.shared import stage
 
 KEYS = ["docid", "type", "word"]
 
@@ -85,23 +86,35 @@ def words_of_doc(postings: DataFrame, value: str = "word") -> DataFrame:
 # The dictionary of words
 
 
-def dictionary(postings: DataFrame, level: Level, first: Column | str = "docid") -> DataFrame:
+def prefix_of(level: Level, kind: Column | str = "type") -> Column:
+    """The prefix of a type's words, null for types that aren't declared."""
+    out = F.lit(None).cast("string")
+    for i in level.inverted:
+        out = F.when((F.col(kind) if isinstance(kind, str) else kind) == i.type, F.lit(i.prefix)).otherwise(out)
+    return out
+
+
+def dictionary(postings: DataFrame, level: Level, first: Column | str = "docid", known: DataFrame | None = None) -> DataFrame:
     """(id, type, word, whole, sign_hi, sign_lo): words of declared types numbered from 1 in the order in which they are
-    first seen. The numbering sorts the distinct words by range and adds each range's start, so no task has them all."""
+    first seen. Words of known keep their ids, used or not, and new ones come behind the largest; no id is given twice.
+    The numbering sorts the new words by range and adds each range's start, so no task has them all."""
     kinds = postings.where(F.col("type").isin([i.type for i in level.inverted]))
-    prefix = F.lit(None).cast("string")
-    for i in level.inverted:
-        prefix = F.when(F.col("type") == i.type, F.lit(i.prefix)).otherwise(prefix)
-    words = kinds.groupBy("type", "word").agg(F.min(first).alias("_first")).withColumn("whole", prefix_concat(prefix, F.col("word"))).where("whole is not null")
+    words = kinds.groupBy("type", "word").agg(F.min(first).alias("_first"))
+    if known is not None:
+        words = words.join(known.select("type", "word"), ["type", "word"], "left_anti")
+    words = words.withColumn("whole", prefix_concat(prefix_of(level), F.col("word"))).where("whole is not null")
+    start = 0 if known is None else known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
     words = numbered(words, ["_first", "type", "word"], "id")
     hi, lo = sign64(F.col("whole"))
-    return words.select("id", "type", "word", "whole", hi.alias("sign_hi"), lo.alias("sign_lo"))
+    new = words.select((F.col("id") + start).alias("id"), "type", "word", "whole", hi.alias("sign_hi"), lo.alias("sign_lo"))
+    return new if known is None else known.select(*new.columns).unionByName(new)
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a gapless number from 1 in the order of columns of which no two rows agree in all: ranges are
-    numbered in themselves, and the counts of the ranges before are added. The counts, one row a range, are broadcast."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """rows with a gapless number from 1 in the order of columns of which no two rows agree in all: ranges are numbered in
+    themselves, and the counts of the ranges before are added. The ranges are written first, as they may be cut elsewhere
+    when they are made again. The counts, one row a range, are broadcast."""
+    ranged = stage(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
@@ -122,8 +135,9 @@ def sign_word(ids: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def list_lengths(postings: DataFrame) -> DataFrame:
-    """Documents of each word. Sort by n descending, then type and word, where the order is shown."""
-    return postings.groupBy("type", "word").agg(F.count_distinct("docid").alias("n"))
+    """Documents of each word; a document has a word once. Sort by n descending, then type and word, where the order is
+    shown."""
+    return postings.groupBy("type", "word").agg(F.count("*").alias("n"))
 
 
 def list_totals(postings: DataFrame) -> DataFrame:
@@ -132,14 +146,14 @@ def list_totals(postings: DataFrame) -> DataFrame:
 
 def list_meta(postings: DataFrame, level: Level) -> DataFrame:
     """`prefix word : documents` lines of a dump."""
-    prefix = F.lit("")
-    for i in level.inverted:
-        prefix = F.when(F.col("type") == i.type, F.lit(i.prefix)).otherwise(prefix)
-    return list_lengths(postings).select(F.concat(prefix, F.col("word"), F.lit(" : "), F.col("n").cast("string")).alias("line"))
+    return list_lengths(postings).select(F.concat(F.coalesce(prefix_of(level), F.lit("")), F.col("word"), F.lit(" : "), F.col("n").cast("string")).alias("line"))
 
 
 def type_stats(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("type").agg(F.count("*").alias("postings"), F.count_distinct("word").alias("words"), F.count_distinct("docid").alias("docs"))
+    """Postings, words and documents of each type: from the lengths of lists, and from the distinct documents of a type."""
+    lists = list_lengths(postings).groupBy("type").agg(F.sum("n").alias("postings"), F.count("*").alias("words"))
+    docs = postings.select("type", "docid").distinct().groupBy("type").agg(F.count("*").alias("docs"))
+    return lists.join(docs, "type")
 
 
 def command(postings: DataFrame, line: str) -> DataFrame:
@@ -147,5 +161,5 @@ def command(postings: DataFrame, line: str) -> DataFrame:
     parts = line.split()
     if len(parts) != 3 or parts[0] not in ("print_list", "print_list_len") or not parts[2].isdigit() or int(parts[2]) > 254:
         raise ValueError(f"not a command: {line!r}")
-    found = postings.where((F.col("type") == int(parts[2])) & (F.col("word") == F.lit(parts[1]))).select("docid").distinct()
+    found = postings.where((F.col("type") == int(parts[2])) & (F.col("word") == F.lit(parts[1]))).select("docid")
     return found.orderBy("docid") if parts[0] == "print_list" else found.agg(F.count("*").alias("length"))

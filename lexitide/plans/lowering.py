@@ -25,8 +25,9 @@ def _term_table(spark: SparkSession, terms: list[Term], used: set[int]) -> DataF
 
 
 def term_lookup(postings: DataFrame, word: str | None, kind: int) -> DataFrame:
-    """docid of every document with the word; none for a null or unknown word or type. The filter reaches the scan."""
-    return postings.where((F.col("type") == kind) & (F.col("word") == F.lit(word))).select("docid").distinct()
+    """docid of every document with the word; none for a null or unknown word or type. A document has a word once. Over
+    stored postings the filter reaches the scan: it prunes folders by type, and row groups and pages by word."""
+    return postings.where((F.col("type") == kind) & (F.col("word") == F.lit(word))).select("docid")
 
 
 def hits(postings: DataFrame, terms: list[Term], used: set[int]) -> DataFrame:
@@ -43,6 +44,15 @@ def mask_of(pos: Column) -> Column:
     return F.shiftleft(F.lit(1).cast("long"), pos % MASK_BITS) if isinstance(pos, int) else F.expr(f"shiftleft(1L, pos % {MASK_BITS})")
 
 
+def masks(used: set[int]) -> list[Column]:
+    """Aggregates m0, m1, ...: which of the terms (column pos) a document has, 62 to a mask."""
+    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("pos") / MASK_BITS) == i, mask_of(F.col("pos")))), F.lit(0).cast("long")).alias(f"m{i}") for i in range(max(used) // MASK_BITS + 1)]
+
+
+def has_bit(pos: int) -> Column:
+    return F.col(f"m{pos // MASK_BITS}").bitwiseAND(F.lit(1 << (pos % MASK_BITS)).cast("long")) != 0
+
+
 def matches(node: Node, has) -> Column:
     """Whether a document is in the result, has(pos) telling whether it has a term."""
     if node.op == "T":
@@ -61,10 +71,7 @@ def lower_masks(postings: DataFrame, terms: list[Term], node: Node) -> DataFrame
     tree becomes one Boolean expression over bits: one shuffle for any query, partial sums before it."""
     used = node.terms()
     found = hits(postings, terms, used)
-    words = max(used) // MASK_BITS + 1
-    masks = [F.coalesce(F.bit_or(F.when(F.floor(F.col("pos") / MASK_BITS) == i, mask_of(F.col("pos")))), F.lit(0).cast("long")).alias(f"m{i}") for i in range(words)]
-    has = lambda p: F.col(f"m{p // MASK_BITS}").bitwiseAND(F.lit(1 << (p % MASK_BITS)).cast("long")) != 0
-    return found.groupBy("docid").agg(*masks).where(matches(node, has))
+    return found.groupBy("docid").agg(*masks(used)).where(matches(node, has_bit))
 
 
 def lower_joins(postings: DataFrame, terms: list[Term], node: Node) -> DataFrame:

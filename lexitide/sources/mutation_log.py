@@ -27,6 +27,11 @@ def stream_log(spark: SparkSession, path: str, files_per_batch: int = 16) -> Dat
     return _lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True))
 
 
+def log_collect(lines: DataFrame, most: int) -> DataFrame:
+    """The first lines of a log, as many as one batch takes; how long a stream gathers them is its trigger's matter."""
+    return lines.orderBy("file_no", "line_no").limit(most)
+
+
 def log_split(line: Column | str = "line", base: bool = False) -> Column:
     """The columns of a line; in base mode the first one, an event id, is dropped."""
     parts = F.split(F.col(line) if isinstance(line, str) else line, "\t")
