@@ -1,12 +1,10 @@
-"""What the training-data operators share: staging in the shared folder, slicing of Arrow batches, hashes."""
+"""What the training-data operators share: staged tables, tasks in Python workers, slicing of Arrow batches, hashes."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -16,51 +14,71 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitide.sources.shared import stage, unstage
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Rows of one Arrow batch sent to a Python worker; keeps batches of long texts small.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch sent to a Python worker; a row longer than that is a batch of its own. Buffers are
+#: allocated by many threads of an executor, each of which keeps about as much as its largest batch took.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small."""
+    """Let Python workers import this package and keep Arrow batches small, in rows and in bytes."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary folder only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexitide-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, noting that it is read from staged tables: unstage(df) deletes them."""
+    df._staged_at = [p for t in tables for p in getattr(t, "_staged_at", [])]
+    return df
+
+
+def settle(df: DataFrame, name: str, *tables: DataFrame) -> DataFrame:
+    """df as a staged table, with the staged tables that it was made from deleted."""
+    out = stage(df, name)
+    unstage(*tables)
     return out
 
 
-def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+#: Numbers that rows are sifted by.
+SIFT_NUMBERS = 1 << 20
+
+
+def sift(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of wanted, rows that surely have none), told apart before any shuffle by the keys modulo
+    SIFT_NUMBERS: a table of at most so many numbers is broadcast, whatever the number of keys. Keys are long."""
+    number = lambda c: F.pmod(F.coalesce(c, F.lit(0)), F.lit(SIFT_NUMBERS)).cast("int")
+    numbers = F.broadcast(wanted.select(number(wanted_key).alias("_number")).distinct())
+    on = number(key) == F.col("_number")
+    return rows.join(numbers, on, "left_semi"), rows.join(numbers, on, "left_anti")
+
+
+def named(df: DataFrame, *made: str, needs: tuple[str, ...] = ()) -> DataFrame:
+    """df without columns of the names (in any case) that an operator gives to its own: its column takes the place of
+    one that the input brings. It is an error if the operator needs such a column."""
+    mine = {m.lower() for m in made}
+    if clash := [c for c in needs if c.lower() in mine]:
+        raise ValueError(f"the columns {clash} have names of the result; rename them")
+    return df.drop(*[c for c in df.columns if c.lower() in mine])
+
+
+def apart(df: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """Names for helper columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
 
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
@@ -114,8 +132,8 @@ _holders: dict[str, Callable[[], None]] = {}
 
 
 def only(name: str, clear: Callable[[], None] | None = None) -> None:
-    """Called by an operator's tasks: a Python worker, which Spark uses again for other tasks, keeps the caches of one
-    operator at a time; clear empties those of this one when another takes over."""
+    """A Python worker, which Spark uses again for other tasks, keeps the caches of one operator at a time; clear empties
+    those of this one when another takes over."""
     others = [k for k in _holders if k != name]
     for k in others:
         _holders.pop(k)()
@@ -129,19 +147,25 @@ def trim() -> None:
     """Give freed memory back to the system; workers that wait for other tasks would keep it."""
     gc.enable()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: freed memory stays with the worker
         pass
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, with trim() at the end of each task."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def task(name: str, run: Callable[[Batches], Batches], clear: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
+    """run as the tasks of an operator: each begins by emptying the caches that other operators left in its worker, and
+    ends by giving freed memory back. clear empties what run itself keeps from task to task."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Batches) -> Batches:
+        only(name, clear)
         try:
             yield from run(batches)
         finally:
             trim()
 
-    return task
+    return whole

@@ -7,7 +7,6 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,18 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import held_out, mix64, only, prepare, runs, trimmed, uniform
+from .common import Batches, held_out, mix64, named, prepare, runs, task, uniform
 
 BITS = 16
-#: Words whose emissions one Python worker keeps before it starts anew.
-CACHE_WORDS = 300_000
+#: Bytes, about, of words and their emissions that one Python worker keeps before it starts anew.
+CACHE_BYTES = 32 << 20
 #: Characters of a word that is one observation; a longer word is several.
 LONG = 64
 #: Words whose features are held at a time.
 HELD_WORDS = 20_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _LETTER = re.compile(r"[^\W\d_]")
-_caches: dict[str, tuple[dict, list]] = {}
+_caches: dict[str, tuple[dict, list, list]] = {}
 
 
 def bare(word: str) -> str:
@@ -107,16 +106,14 @@ class Model:
     key: str
 
 
-def fit(samples: list[tuple[str, str]], words_per_text: int = 200, chains: int = 4000, length: int = 48, lexicon_size: int = 20_000, seed: int = 5) -> Model:
-    """samples: (text, language). Chains mix runs of words of different languages, so that moves are learned; runs
-    are words of training texts only."""
+def fit(samples: list[tuple[str, str]], chains: int = 4000, length: int = 48, lexicon_size: int = 20_000, seed: int = 5) -> Model:
+    """samples: (text, language). The lexicon is made of all words of the texts; `chains` runs of up to `length` words,
+    drawn from anywhere in them, are what the field is fitted on. Chains mix runs of different languages, so that moves
+    are learned."""
     rng = random.Random(seed)
     by: dict[str, list[list[str]]] = {}
     for text, lang in samples:
         words = words_of(text)
-        if len(words) > words_per_text:
-            at = rng.randrange(len(words) - words_per_text + 1)
-            words = words[at : at + words_per_text]
         if any(_LETTER.search(w) for w in words):
             by.setdefault(lang, []).append(words)
     languages = sorted(by)
@@ -157,17 +154,19 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray,
         return ["und"] * n, np.zeros(n), np.zeros((n, 0)), np.zeros(n, dtype=np.int64)
     if model.key not in _caches:
         _caches.clear()
-        _caches[model.key] = ({}, [np.zeros((1, K))])
-    cache, tables = _caches[model.key]
+        _caches[model.key] = ({}, [np.zeros((1, K))], [0])
+    cache, tables, held = _caches[model.key]
     split = [words_of(t) for t in texts]
     seen: set[str] = set()
     for words in split:
         seen.update(words)
     new = list(seen.difference(cache))
-    if len(cache) + len(new) > CACHE_WORDS and cache:
+    cost = lambda words: (200 + 8 * K) * len(words) + sum(map(len, words))
+    if cache and held[0] + cost(new) > CACHE_BYTES:
         cache.clear()
-        tables[:] = [np.zeros((1, K))]
+        tables[:], held[0] = [np.zeros((1, K))], 0
         new = list(seen)
+    held[0] += cost(new)
     base = sum(map(len, tables))
     cache.update(zip(new, range(base, base + len(new))))
     plain = [bare(w) for w in new]
@@ -199,39 +198,41 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray,
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = 400, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """About per_language (text, language) rows of each language, by the hash of the id; the bound on what is fitted."""
-    known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = known.groupBy(lang_col).count().collect()
-    keep = F.lit(False)
-    for lang, n in counts:
-        keep = keep | ((F.col(lang_col) == F.lit(lang)) & (uniform(F.col(id_col).cast("string"), seed=3) < F.lit(per_language / n)))
-    rows = known.where(keep).select(text_col, lang_col, id_col).collect() if counts else []
+    """About per_language (text, language) rows of each language, whole texts, by the hash of the id: the bound on what
+    is fitted. One row a language is broadcast."""
+    known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"))
+    share = F.broadcast(known.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("share")))
+    rows = known.join(share, "lang").where(uniform("id", seed=3) < F.col("share")).select("text", "lang", "id").collect()
     return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[1], str(r[2]), r[0]))]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred string, score double, shares array<double> (by model.languages), switches long added.
+    """docs with lang_pred string, score double, shares array<double> (by model.languages), switches long added; they
+    take the place of columns of these names.
 
     A text that is null or has no letter is `und` with score 0; so is every text if nothing was learned. Each row is
-    judged alone by its whole text, words of over LONG characters in pieces that each count as a word; no shuffle.
+    judged alone by its whole text, words of over LONG characters in pieces that each count as a word; no shuffle. Of
+    languages with equal shares the first by name counts. Equal rows get equal results; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
+    docs = named(docs, "lang_pred", "score", "shares", "switches", needs=(text_col,))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("switches", T.LongType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the features' number
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("langid", _caches.clear)
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            for a, b in runs(column, 1_000_000):
+            for a, b in runs(column, 500_000):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 lang, score, shares, switches = score_texts(shipped.value, texts)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], pa.array(lang), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64())), pa.array(switches, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(trimmed(run), schema)
+    return docs.mapInArrow(task("langid", run, _caches.clear), schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """Learn from rows of documents whose crc32(doc_id) mod 5 is not 0, predict all; only the text is an input."""
+    """doc_id with lang_pred, score, shares and switches: learned from rows of documents with a text, a lang and an id
+    whose crc32(doc_id) mod 5 is not 0; only the text is an input. Null and empty texts are `und`; rows with equal or
+    null ids are rows of their own; an empty table, or one without a lang, teaches nothing, and all it has is `und`."""
     model = fit(sample(docs, ~held_out()))
     return identify(docs.select("doc_id", "text"), model)

@@ -8,7 +8,6 @@ import io
 import re
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import Batches, named, prepare, task
 
 FORMATS = ("pgm", "ppm", "bmp")
 _HEAD = re.compile(rb"P([2356])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s")
@@ -109,12 +108,14 @@ def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: figures of its stored picture, its difference hash as feature, and a tile x tile NPY thumbnail.
 
     A null text is an empty one; an empty text is one unit of 192 spaces. Equal texts give equal values. Rows are
-    independent of each other, so no shuffle happens; ids may be null or repeat.
+    independent of each other, so no shuffle happens; ids may be null or repeat, the id's column may not be named like
+    one of the result; other columns are not returned. No rows give no rows.
     """
     prepare(docs.sparkSession)
+    named(docs, *MEDIA.names, needs=(id_col,))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *MEDIA.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             rows = []
             for raw in batch.column(1).to_pylist():
@@ -126,16 +127,17 @@ def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if made:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=schema.names)
 
-    return docs.select(id_col, F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b"")).alias("raw")).mapInArrow(run, schema)
+    return docs.select(id_col, F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b"")).alias("raw")).mapInArrow(task("media", run), schema)
 
 
 def decode_media(df: DataFrame, content_col: str = "content", tile: int = 16) -> DataFrame:
-    """df with width, height, channels int, tile binary (NPY) and dhash string added; all null where the bytes are
-    null or no picture that decode() reads."""
+    """df with width, height, channels int, tile binary (NPY) and dhash string added, in place of columns of these names;
+    all null where the bytes are null or no picture that decode() reads. No rows give no rows."""
     prepare(df.sparkSession)
+    df = named(df, "width", "height", "channels", "tile", "dhash", needs=(content_col,))
     schema = T.StructType([*df.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("tile", T.BinaryType()), T.StructField("dhash", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             rows = []
             for raw in batch.column(batch.schema.get_field_index(content_col)).to_pylist():
@@ -144,4 +146,4 @@ def decode_media(df: DataFrame, content_col: str = "content", tile: int = 16) ->
             made = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task("media", run), schema)

@@ -9,7 +9,9 @@ import json
 import os
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable
+from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, prepare, stage, trimmed
+from .common import Batches, apart, holding, named, prepare, settle, stage, task, unstage
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
-#: Words that each of a worker's caches takes before it turns old and the older one is let go.
-CACHE_WORDS = 400_000
+#: Bytes, about, that each of a worker's caches takes before it turns old and the older one is let go.
+CACHE_BYTES = 32 << 20
 #: Marks that the tokenizer cuts off a word of letters as a piece of their own.
 _STOPS = frozenset(".,;:!?")
 _encoders: dict[str, "Encoder"] = {}
@@ -133,6 +135,33 @@ class Placement:
         return first + copy, at + i * length
 
 
+class Cache:
+    """Values by word, those of late: a young table and the one that was young before it."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that neither table has; those of the old one become young again."""
+        new = words.difference(self.young)
+        if self.old and new:
+            back = list(new & self.old.keys())
+            self.put(back, map(self.old.__getitem__, back))
+            new.difference_update(back)
+        return list(new)
+
+    def put(self, words: list[str], values: Iterable[bytes]) -> None:
+        self.young.update(zip(words, values))
+        self.held += 90 * len(words) + 2 * sum(map(len, words))  # as measured; most values are shared
+
+    def turn(self) -> None:
+        """To be called when no value is needed any more."""
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+
+
 class Encoder:
     """Ids of words by a tokenizer of the `tokenizers` library that lower-cases, drops white space and ends words by
     </w>: texts are cut at white space, words at the tokenizer's own pattern, and what recurs comes from caches that
@@ -142,67 +171,69 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
+        self.path = path
+        self.parts = Tokenizer.from_file(path)
+        self.normalizer = self.parts.normalizer
+        spec = json.loads(Path(path).read_text())
         cut = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.cut = regex.compile(cut[0])
-        self.parts = Tokenizer.from_file(path)
         self.parts.normalizer = None
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(" "), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
-        vocab = self.whole.get_vocab()
+        vocab = self.parts.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: tuple[dict, dict] = ({}, {})
-        self.pieces: tuple[dict, dict] = ({}, {})
+        self.words, self.pieces = Cache(), Cache()
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, for what can't be cut into words."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def rest(self) -> None:
         """Between tasks only the younger caches stay."""
-        self.words, self.pieces = (self.words[0], {}), (self.pieces[0], {})
+        self.words.old, self.pieces.old = {}, {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn_pieces(self, new: list[str]) -> None:
-        young = self.pieces[0]
         for i in range(0, len(new), 512):
             some = new[i : i + 512]
             got = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[got]) + 1
+            cuts = (np.flatnonzero(self.ends[got]) + 1).tolist()
             if len(cuts) == len(some):
-                young.update((w, got[a:b].tobytes()) for w, a, b in zip(some, [0, *cuts.tolist()], cuts.tolist()))
+                raw = got.tobytes()
+                self.pieces.put(some, [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)])
             else:
-                young.update((w, np.array(self.parts.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()) for w in some)
+                self.pieces.put(some, [np.array(self.parts.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in some])
 
     def learn_words(self, new: list[str]) -> None:
-        young = self.words[0]
         plain = [w for w in new if "<|" not in w]
-        normal = self.whole.normalizer.normalize_str(" ".join(plain)).split(" ")
+        normal = self.normalizer.normalize_str(" ".join(plain)).split(" ")
         if len(normal) != len(plain):
             plain, normal = [], []
-        cut, (have, old) = self.cut.findall, self.pieces
+        cut = self.cut.findall
         split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else cut(w) for w in normal]
-        missing = {p for ps in split for p in ps if p not in have}
-        have.update((p, old[p]) for p in missing if p in old)
-        self.learn_pieces([p for p in missing if p not in have])
-        young.update([(w, have[ps[0]] if len(ps) == 1 else b"".join([have[p] for p in ps])) for w, ps in zip(plain, split)])
-        young.update((w, self.ids(w)) for w in new if w not in young)
-        if len(have) > CACHE_WORDS:
-            self.pieces = ({}, have)
+        self.learn_pieces(self.pieces.missing({p for ps in split for p in ps}))
+        have = self.pieces.young
+        self.words.put(plain, [have[ps[0]] if len(ps) == 1 else b"".join([have[p] for p in ps]) for ps in split])
+        if len(plain) < len(new):
+            rest = [w for w in new if w not in self.words.young]
+            self.words.put(rest, map(self.ids, rest))
+        self.pieces.turn()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text."""
         split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        have, old = self.words
         seen: set[str] = set()
         for words in split:
             seen.update(words or ())
-        new = seen.difference(have)
-        have.update([(w, old[w]) for w in new if w in old])
-        self.learn_words([w for w in new if w not in have])
-        known = have.__getitem__
+        self.learn_words(self.words.missing(seen))
+        known = self.words.young.__getitem__
         out = [self.ids(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split)]
-        if len(have) > CACHE_WORDS:
-            self.words = ({}, have)
+        self.words.turn()
         return out
 
 
@@ -217,13 +248,15 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most capacity tokens of each document's ids and the end id; a null text is an empty one. `_row` tells rows apart whose ids are equal."""
+    """Pieces of at most capacity tokens of each document's ids and the end id: the id, _row, piece, start, length and
+    ids_crc32. A null text is an empty one, of one piece with the end id alone; _row tells rows apart whose ids are equal.
+    Only the id and the text are used; the id may not be named like one of the others."""
     prepare(docs.sparkSession)
+    named(docs, "_row", *T._parse_datatype_string(PIECES).names, needs=(id_col,))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_row", T.LongType()), *T._parse_datatype_string(PIECES).fields])
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("packing", _encoders.clear)
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             gc.disable()  # caches of words hold no cycles, and walking them again and again is a third of the time
             for at in range(0, batch.num_rows, 250):
@@ -239,37 +272,45 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
         if tokenizer_path in _encoders:
             _encoders[tokenizer_path].rest()
 
-    return docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(trimmed(run), schema)
+    return docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(task("packing", run, _encoders.clear), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", order: tuple[str, ...] = ("_row", "piece"), rounds: int = 80) -> DataFrame:
-    """pieces with sequence_id long and offset long added: as few sequences of capacity tokens as the rounded program
-    finds, each filled without gaps from 0.
+    """pieces with sequence_id long and offset long added (in place of columns of these names): as few sequences of
+    capacity tokens as the rounded program finds, each filled without gaps from 0.
 
     Only the histogram (at most capacity rows) reaches the driver. Pieces of one length are numbered in salted groups,
-    so a length that many copies share is split over tasks. Lengths must be from 1 to capacity. No rows give no rows.
+    so a length that many copies share is split over tasks; those that agree in all columns of order are exchangeable.
+    Lengths must be from 1 to capacity, null is an error. No rows give no rows.
     """
     spark = prepare(pieces.sparkSession)
+    pieces = named(pieces, "sequence_id", "offset", needs=(length_col, *order))
+    l, salts, salt, rn, before, at = apart(pieces, "_l", "_salts", "_salt", "_rn", "_before", "_at")
     kept = stage(pieces, "pack-pieces")
-    hist = {int(r[0]): int(r[1]) for r in kept.groupBy(length_col).count().collect()}
+    hist = {r[0]: int(r[1]) for r in kept.groupBy(length_col).count().collect()}
+    if None in hist:
+        raise ValueError("a length is null")
     where = Placement(solve(hist, capacity, rounds))
     group = min(100_000, max(64, sum(hist.values()) // 1000))
-    salts = spark.createDataFrame([(l, -(-n // group)) for l, n in hist.items()], "_l long, _salts int")  # at most capacity rows
-    dealt = kept.join(F.broadcast(salts), kept[length_col] == F.col("_l")).drop("_l").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts")).cast("int")).drop("_salts")
-    numbered = stage(dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order)) - 1), "pack-numbered")
-    sums = numbered.groupBy(length_col, "_salt").count()
-    before = sums.withColumn("_before", F.sum("count").over(Window.partitionBy(length_col).orderBy("_salt")) - F.col("count")).select(length_col, "_salt", "_before")
+    table = spark.createDataFrame([(int(x), -(-n // group)) for x, n in hist.items()], f"{l} long, {salts} int")  # at most capacity rows
+    dealt = kept.join(F.broadcast(table), kept[length_col] == F.col(l)).withColumn(salt, F.pmod(F.xxhash64(*order), F.col(salts)).cast("int")).drop(l, salts)
+    numbered = stage(dealt.withColumn(rn, F.row_number().over(Window.partitionBy(length_col, salt).orderBy(*order)) - 1), "pack-numbered")
+    unstage(kept)
+    sums = numbered.groupBy(length_col, salt).agg(F.count("*").alias(rn))
+    sums = sums.withColumn(before, F.sum(rn).over(Window.partitionBy(length_col).orderBy(salt)) - F.col(rn)).select(length_col, salt, before)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         s, o = where.place(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": s, "offset": o})
 
-    ranked = numbered.join(before, [length_col, "_salt"])
-    return ranked.withColumn("_at", place(F.col(length_col), F.col("_rn") + F.col("_before"))).select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    ranked = numbered.join(sums, [length_col, salt])
+    out = ranked.withColumn(at, place(F.col(length_col), F.col(rn) + F.col(before))).select(*pieces.columns, f"{at}.sequence_id", f"{at}.offset")
+    return settle(out, "packed", numbered)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: the id, piece, start, length, ids_crc32, sequence_id and offset."""
+    """Per piece: the id, piece, start, length, ids_crc32, sequence_id and offset. A null text is an empty one, of one
+    piece with the end id alone; rows with equal or null ids are documents of their own; an empty table gives no rows."""
     out = pack(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)
-    return out.drop("_row")
+    return holding(out.drop("_row"), out)

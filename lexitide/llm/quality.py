@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, prepare, uniform
+from .common import Batches, held_out, named, prepare, task, uniform
 
 NAMES = ("log_bytes", "log_words", "word_length", "upper", "digits", "blank", "marks", "symbols", "beyond_ascii", "shout", "bars", "doubled", "distinct_words", "top_word", "repeated_lines", "line_length", "repeated_runs", "lone_words", "stops", "capital_words", "echoes")
 #: Bytes of each kind.
@@ -130,18 +129,20 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 600, seed: i
 
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with features array<double> of the whole text."""
+    """docs without the text, with features array<double> of the whole text, in place of a column of that name. A null
+    text is an empty one, of zeros; no rows give no rows."""
     prepare(docs.sparkSession)
+    docs = named(docs, "features", needs=(text_col,))
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*kept, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             i = batch.schema.get_field_index(text_col)
             rows = [features(t or "") for t in batch.column(i).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[c for j, c in enumerate(batch.columns) if j != i], pa.array(rows, pa.list_(pa.float64()))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task("quality", run), schema)
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, n_positive: int = 4000, n_unlabelled: int = 6000) -> tuple[np.ndarray, np.ndarray]:
@@ -155,28 +156,33 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, n_positive: int =
     pos = some.join(F.broadcast(ids), "doc_id", "left_semi")  # about n_positive ids
     unl = some.where(uniform(F.col("doc_id").cast("string"), seed=22) < F.lit(n_unlabelled / max(total, 1)))
     both = with_features(pos.withColumn("kind", F.lit(1)).unionByName(unl.withColumn("kind", F.lit(0)))).collect()
-    both.sort(key=lambda r: (r["kind"], r["doc_id"] is None, r["doc_id"]))
+    both.sort(key=lambda r: (r["kind"], r["doc_id"], r["features"]))  # ids to learn from are never null
     make = lambda k: np.array([r["features"] for r in both if r["kind"] == k], dtype=float).reshape(-1, len(NAMES))
     return make(1), make(0)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score double added: the probability that a text is good. A null text is an empty one; empty texts
-    get the score of their (zero) features. Rows are judged alone, by whole texts."""
+    """docs with score double added, in place of a column of that name: the probability that a text is good. A null text
+    is an empty one; empty texts get the score of their (zero) features. Rows are judged alone, by whole texts, so equal
+    texts have equal scores; no rows give no rows."""
     prepare(docs.sparkSession)
+    docs = named(docs, "score", needs=(text_col,))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             x = np.array([features(t or "") for t in texts]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task("quality", run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; learned from rows whose crc32(doc_id) mod 5 is not 0."""
+    """doc_id, held_out, score and predicted of every document; learned from rows whose crc32(doc_id) mod 5 is not 0. A
+    null text is an empty one; a row without an id counts as held out; rows with equal or null ids are documents of
+    their own. Of an id with several labels a trusted one counts. Without trusted labels or without documents to learn
+    from every score is one half. An empty table gives no rows; other columns are not returned."""
     model = fit(*sample(docs, labels, ~held_out()))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
