@@ -6,7 +6,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import prepare
+from .common import Batches, named, prepare, task
 
 #: Elements by how they take part in the tree.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -26,10 +26,14 @@ RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes
 CLOSES_ITSELF = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 HOLDERS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"])}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S | re.I)
+#: A comment, a declaration, or the beginning of a tag up to its end or its first quote; what is left open goes to the page's end.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)(?:>|([\"'])|\Z)", re.S)
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW.split("|")}
+_SPECIAL = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_MARK = re.compile(r"\bdata-main=\"([01])\"")
 _SAYS = re.compile(r"cookie|subscribe|newsletter|sign up|log ?in|copyright|©|all rights|advert|sponsor|share|comment|reply|read more|related|privacy|accept|search|menu|posted by|follow us|terms", re.I)
 
 _tokens: dict[tuple[str, str], tuple[str, ...]] = {}
@@ -53,108 +57,151 @@ def element_features(tag: str, attrs: str) -> tuple[str, ...]:
 
 @dataclass
 class Block:
-    text: str
-    tags: tuple[str, ...]
-    inside: frozenset[str]
-    linked: int = 0
-    mark: str = ""
-
+    """A leaf block: its text, the element around it, characters inside links, the label of a labelled page, and the
+    features of its ancestors, or their weight if they were weighed."""
 
-def blocks(page: str) -> list[Block]:
+    text: str
+    tag: str
+    loose: bool
+    linked: int
+    mark: str
+    inside: tuple[str, ...] = ()
+    weight: float = 0.0
+
+
+def tag_end(page: str, at: int, known: dict[int, int]) -> int:
+    """The place behind the > that ends a tag, from a place outside of quotes on; -1 if a quote stays open. known keeps
+    what was found from each > and quote, so a page is walked through once however many tags it leaves open."""
+    seen, end = [], -1
+    while m := _SPECIAL.search(page, at):
+        k = m.start()
+        if k in known:
+            end = known[k]
+            break
+        seen.append(k)
+        if page[k] == ">":
+            end = k + 1
+            break
+        if (at := page.find(page[k], k + 1) + 1) == 0:
+            break
+    known.update(dict.fromkeys(seen, end))
+    return end
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, closing, name, attributes) of each tag in order, comments and the like being tags without a name;
+    elements whose content is no markup are one such tag. Time grows in proportion to the page."""
+    at, known = 0, {}
+    while m := _TOKEN.search(page, at):
+        begin, at = m.span()
+        name = (m[2] or "").lower()
+        attrs = m[3] or ""
+        if m[4]:
+            end = tag_end(page, at - 1, known)
+            if end < 0:  # an open quote: the next > ends the tag
+                end = page.find(">", at) + 1 or len(page)
+            attrs, at = page[m.start(3) : end - 1], end
+        if name in _RAW_END and not m[1]:
+            close = _RAW_END[name].search(page, at)
+            name, at = "", close.end() if close else len(page)
+        yield begin, at, bool(m[1]), name, attrs
+
+
+def blocks(page: str, weigh: Callable[[str], float] | None = None, marks: bool = False) -> Iterator[Block]:
     """Leaf blocks in page order: runs of text between two block tags, white space made one space, ends trimmed, empty
-    ones left out. Tags left open are closed as browsers do; comments, scripts, styles and the head say nothing."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool, str]] = [("#", frozenset(), False, "")]
+    ones left out. Tags left open are closed as browsers do; comments, scripts, styles and the head say nothing. marks:
+    read the labels of a labelled page, data-main="0" or "1" of the nearest ancestor that has one."""
+    # Open block elements: name, features that it brought, weight of all so far, hidden, mark, open inline elements by name.
+    stack: list[tuple[str, tuple[str, ...], float, bool, str, dict[str, int]]] = [("#", (), 0.0, False, "", {})]
+    where: dict[str, list[int]] = {}  # places in the stack by name
+    open_features: dict[str, None] = {}
+    links = linked = 0
     buffer: list[str] = []
-    linked = 0
 
-    def flush() -> None:
+    def flush() -> Iterator[Block]:
         nonlocal linked
         if buffer:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
-            top = next(s for s in reversed(stack) if s[0] not in INLINE)
-            if text and not top[2]:
-                out.append(Block(text, tuple(s[0] for s in stack if s[0] not in INLINE), top[1], linked, top[3]))
+            name, _, weight, hidden, mark, _ = stack[-1]
+            if text and not hidden:
+                loose = "t:article" not in open_features and "t:main" not in open_features
+                yield Block(text, name, loose, linked, mark, () if weigh else tuple(open_features), weight)
         linked = 0
 
     def pop_to(i: int) -> None:
-        del stack[i:]
-
+        nonlocal links
+        while len(stack) > i:
+            name, brought, _, _, _, inline = stack.pop()
+            where[name].pop()
+            for x in brought:
+                del open_features[x]
+            links -= inline.get("a", 0)
+
+    last = lambda names: max((where[n][-1] for n in names if where.get(n)), default=0)
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            buffer.append(piece)
-            if any(s[0] == "a" for s in stack[-4:]):
-                linked += len(piece)
-        at = m.end()
-        tag = m[3] or m[6]
+    for begin, end, closing, tag, attrs in tags(page):
+        if begin > at:
+            buffer.append(page[at:begin])
+            linked += (begin - at) * (links > 0)
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        closing, attrs = (m[2], m[4]) if m[3] else (m[5], m[7])
         if tag == "br":
             buffer.append(" ")
             continue
         if tag in INLINE:
-            if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            elif tag not in VOID:
-                stack.append((tag, stack[-1][1], stack[-1][2], stack[-1][3]))
+            inline = stack[-1][5]
+            step = -1 if closing else 1
+            if tag not in VOID and inline.get(tag, 0) + step >= 0:
+                inline[tag] = inline.get(tag, 0) + step
+                links += step * (tag == "a")
             continue
-        flush()
+        yield from flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            if i := last((tag,)):
+                pop_to(i)
             continue
-        if tag == "body":
-            for i in range(1, len(stack)):
-                if stack[i][0] == "head":
-                    pop_to(i)
-                    break
-        ends = CLOSES_ITSELF.get(tag, CLOSES_ITSELF["p"])
-        holders = HOLDERS.get(tag, frozenset())
-        for i in range(len(stack) - 1, 0, -1):
-            name = stack[i][0]
-            if name in ends:
+        if tag == "body" and (i := last(("head",))):
+            pop_to(i)
+        if tag in HOLDERS:  # a new item or cell ends the one before it, and paragraphs in that, inside its own list or table
+            while (i := last(CLOSES_ITSELF[tag])) > last(HOLDERS[tag]):
+                name = stack[i][0]
                 pop_to(i)
-                if name == tag or name != "p":
+                if name != "p":
+                    break
+        else:  # all others end paragraphs; a paragraph ends one
+            while stack[-1][0] == "p":
+                pop_to(len(stack) - 1)
+                if tag == "p":
                     break
-            elif name in holders or (name not in INLINE and tag not in CLOSES_ITSELF) or (tag == "p" and name not in INLINE):
-                break
         if tag in VOID:
             continue
-        own = element_features(tag, attrs or "")
-        parent = next(s for s in reversed(stack) if s[0] not in INLINE)
-        stack.append((tag, parent[1].union(own), parent[2] or tag in UNSEEN, re.search(r"data-main=\"(\d)\"", attrs)[1] if attrs and "data-main" in attrs else parent[3]))
+        brought = tuple(x for x in element_features(tag, attrs) if x not in open_features)
+        open_features.update(dict.fromkeys(brought))
+        _, _, weight, hidden, mark, _ = stack[-1]
+        if marks and (m := _MARK.search(attrs)):
+            mark = m[1]
+        where.setdefault(tag, []).append(len(stack))
+        stack.append((tag, brought, weight + sum(map(weigh, brought)) if weigh else 0.0, hidden or tag in UNSEEN, mark, {}))
     if at < len(page):
         buffer.append(page[at:])
-    flush()
-    return out
+        linked += (len(page) - at) * (links > 0)
+    yield from flush()
 
 
-def block_features(b: Block, i: int, n: int) -> list[str]:
-    """Features of the i-th of n blocks: of its ancestors, and of its text."""
+def block_features(b: Block) -> list[str]:
+    """Features of a block: of its ancestors, if they weren't weighed, and of its text."""
     k = len(b.text)
-    out = list(b.inside)
-    out.append("n:" + b.tags[-1])
-    out.append("bias")
-    if not ("t:article" in b.inside or "t:main" in b.inside):
+    out = [*b.inside, "n:" + b.tag, "bias"]
+    if b.loose:
         out.append("loose")
     out.append(f"len:{min(6, k.bit_length() // 2)}")
     out.append(f"link:{min(3, 4 * b.linked // max(1, k))}")
     if b.text[-1] in ".!?":
         out.append("ends")
-    if k < 400 and (m := _SAYS.search(b.text)):
-        out.append("says:" + m[0].lower().replace(" ", ""))
+    if m := _SAYS.search(b.text):
+        out.append(("says:" if k < 400 else "holds:") + m[0].lower().replace(" ", ""))
     return out
 
 
@@ -256,7 +303,7 @@ class Model:
 def fit(pages: list[str], steps: int = 60, least: int = 3) -> Model:
     """Learn from labelled pages: data-main="1" on an element marks the text inside as main text, "0" as not; the
     nearest such ancestor counts. Features seen in fewer than `least` blocks are not used."""
-    seqs = [[(block_features(b, i, len(bs)), int(b.mark or 0)) for i, b in enumerate(bs)] for bs in map(blocks, pages) if bs]
+    seqs = [s for p in pages if (s := [(block_features(b), int(b.mark or 0)) for b in blocks(p, marks=True)])]
     counts: dict[str, int] = {}
     for s in seqs:
         for f, _ in s:
@@ -281,26 +328,27 @@ def fit(pages: list[str], steps: int = 60, least: int = 3) -> Model:
 
 def main_blocks(model: Model, page: str) -> list[str]:
     """Texts of the blocks that the field labels main, in page order."""
-    bs = blocks(page)
     w = model.weights.get
+    weigh = lambda f: w(f, 0.0)
     (a00, a01), (a10, a11) = model.moves.tolist()
-    s0, s1, back = 0.0, 0.0, []
-    for i, b in enumerate(bs):
-        e = sum([w(f, 0.0) for f in block_features(b, i, len(bs))])
-        if i == 0:
+    s0, s1, back, texts = 0.0, 0.0, [], []
+    for b in blocks(page, weigh):
+        e = b.weight + sum(map(weigh, block_features(b)))
+        texts.append(b.text)
+        if len(texts) == 1:
             s0, s1 = float(model.first[0]), float(model.first[1]) + e
             continue
         b0, b1 = s1 + a10 > s0 + a00, s1 + a11 > s0 + a01
         back.append((b0, b1))
         s0, s1 = (s1 + a10 if b0 else s0 + a00), (s1 + a11 if b1 else s0 + a01) + e
-    if not bs:
+    if not texts:
         return []
     y = s1 > s0
     path = [y]
     for pair in reversed(back):
         y = pair[y]
         path.append(y)
-    return [b.text for b, keep in zip(bs, reversed(path)) if keep]
+    return [t for t, keep in zip(texts, reversed(path)) if keep]
 
 
 def default_model(n_pages: int = 1500, seed: int = 4) -> Model:
@@ -310,18 +358,21 @@ def default_model(n_pages: int = 1500, seed: int = 4) -> Model:
 
 
 def extract(pages: DataFrame, model: Model, html_col: str = "html") -> DataFrame:
-    """pages without html_col, with text string (main blocks joined by newlines, empty if none) and n_chars long added.
+    """pages without html_col, with text string (main blocks joined by newlines, empty if none) and n_chars long added,
+    in place of columns of these names.
 
-    A null or empty page gives an empty text. Pages are read whole and judged alone; no shuffle.
+    A null or empty page gives an empty text. Pages are read whole and judged alone, in time in proportion to their
+    length; equal pages give equal texts; no shuffle. No rows give no rows.
     """
     prepare(pages.sparkSession)
+    pages = named(pages, "text", "n_chars", needs=(html_col,))
     kept = [f for f in pages.schema.fields if f.name != html_col]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             k = batch.schema.get_field_index(html_col)
             texts = ["\n".join(main_blocks(model, h)) if h else "" for h in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[c for j, c in enumerate(batch.columns) if j != k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(task("html", run, _tokens.clear), schema)
