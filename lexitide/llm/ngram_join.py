@@ -4,15 +4,13 @@ target recall, a shuffle on band hashes, and verification on full n-gram sets.""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, mix64, only, prepare, runs, stage, trimmed, unstage
+from .common import Batches, bytes_of, mix64, prepare, runs, settle, sift, stage, task, unstage
 from .graph import blocked, components, gathered, grouped
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -24,7 +22,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and their inverses."""
     if not _powers or len(_powers[0]) < n:
-        base, k = 0xD1342543DE82EF95, max(n, 1 << 20)
+        base, k = 0xD1342543DE82EF95, max(n, 1 << 18)
         table = [np.full(k, np.uint64(b), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))]
         for t in table:
             t[0] = 1
@@ -32,6 +30,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the distinct runs of n words of each text, sorted, and the offsets of each text's in them. A
     word is a run of bytes other than ASCII white space; a text of fewer than n words has one n-gram, all its words;
@@ -144,10 +146,12 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     and n_copies long (how many have it).
 
     Documents with equal sets are one class and linked; classes, not documents, are compared, so copies are never
-    expanded into pairs. Band hashes link each class to the least one of its bucket; what these links connect is a
-    candidate group, whose sets are compared whole, in blocks, so no bucket is capped and no pair that shares a bucket
-    is missed. Null and blank texts have the empty set and are one class, linked to nothing else. Rows with equal or
-    null ids are rows of their own; class_id is null only if all ids of a group are. An empty table gives no rows.
+    expanded into pairs. Band hashes link each class to the least one of its bucket. What these links connect is compared
+    at once where it fits into one block; larger ones (which grow together where many texts share a passage) are compared
+    bucket by bucket, in blocks, each pair in the first bucket that it shares. So no bucket is capped, no pair that shares
+    one is missed, and no work goes into pairs that share none but those inside a block. Null and blank texts have the
+    empty set and are one class, linked to nothing else. Rows with equal or null ids are rows of their own; class_id is
+    null only if all ids of a group are. An empty table gives no rows. Other columns are not returned.
     """
     spark = prepare(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
@@ -156,10 +160,9 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     fields = [("id", docs.schema[id_col].dataType), ("t", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("n", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("ngrams", _powers.clear)
+    def describe(batches: Batches) -> Batches:
         for batch in batches:
-            for a, b in runs(batch.column(2), 1_000_000):
+            for a, b in runs(batch.column(2), 250_000):
                 part = batch.slice(a, b - a)
                 grams, off = ngrams(*bytes_of(part.column(2)), n)
                 size = np.diff(off)
@@ -172,20 +175,27 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(size, pa.int64()), listed], names=schema.names)
 
-    base = stage(source.mapInArrow(trimmed(describe), schema).withColumn("row", F.monotonically_increasing_id()), "ngram-base")
+    base = stage(source.mapInArrow(task("ngrams", describe, forget_powers), schema).withColumn("row", F.monotonically_increasing_id()), "ngram-base")
     classes = base.groupBy("d1", "d2", "n").agg(F.min(F.struct("row", "id", "t", "bands")).alias("r"), F.count("*").alias("m"), F.min("id").alias("least"))
     classes = stage(classes.select("d1", "d2", "n", "m", "least", F.col("r.row").alias("c"), F.col("r.id").alias("rep"), F.col("r.t").alias("t"), F.col("r.bands").alias("bands")), "ngram-classes")
     hashed = classes.select("c", F.explode("bands").alias("h"))
     least = hashed.groupBy("h").agg(F.min("c").alias("b"), F.count("*").alias("k")).where("k > 1").select("h", "b")
     groups = components(hashed.join(least, "h").where("c != b").select(F.col("c").alias("a"), "b"))
-    known = groups.join(classes.select(F.col("c").alias("v"), "n", "m", "rep", "t"), "v")
-    placed = stage(blocked(known, "label", "v", "n", BLOCK_NGRAMS, BLOCK_ROWS), "ngram-candidates")
-    found = (source["t"] == placed["t"]) & source["id"].eqNullSafe(placed["rep"])
-    # Sort-merge at every size: a plan that broadcasts small candidate tables would hide that texts move.
-    tasks = source.join(placed.hint("merge"), found).select("label", "lo", "hi", "v", "block", "m", "text").repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, 3):
+    sizes = groups.join(classes.select(F.col("c").alias("v"), "n"), "v").groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("grams"))
+    large = stage(sizes.where((F.col("k") > BLOCK_ROWS) | (F.col("grams") > BLOCK_NGRAMS)).select("label", F.lit(True).alias("large")), "ngram-large")
+    known = groups.join(large, "label", "left").join(classes.select(F.col("c").alias("v"), "n", "m", "rep", "t", "bands"), "v")
+    none = F.lit(None).cast("array<long>")
+    whole = known.where("large is null").select(F.lit(0).alias("kind"), F.col("label").alias("key"), "v", "n", "m", "rep", "t", none.alias("bands"))
+    shared_buckets = known.where("large").select("v", "n", "m", "rep", "t", "bands", F.explode("bands").alias("key")).join(least.select(F.col("h").alias("key")), "key")
+    parts = whole.unionByName(shared_buckets.select(F.lit(1).alias("kind"), "key", "v", "n", "m", "rep", "t", "bands"))
+    placed = stage(blocked(parts, ["kind", "key"], "v", "n", BLOCK_NGRAMS, BLOCK_ROWS), "ngram-candidates")
+    # Most texts are no candidates; they go before the shuffle.
+    fetched, _ = sift(source, source["t"], placed, placed["t"])
+    found = (fetched["t"] == placed["t"]) & fetched["id"].eqNullSafe(placed["rep"])
+    tasks = fetched.join(placed, found).select("kind", "key", "lo", "hi", "v", "block", "m", "bands", "text").repartition("kind", "key", "lo", "hi").sortWithinPartitions("kind", "key", "lo", "hi", "v")
+
+    def verify(batches: Batches) -> Batches:
+        for table in grouped(batches, 4):
             v = table.column("v").to_numpy()
             take = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             v, block, m = v[take], table.column("block").to_numpy()[take], table.column("m").to_numpy()[take]
@@ -195,17 +205,22 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
             near = similar([grams[a:b] for a, b in zip(off, off[1:])], threshold)
             if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
                 near &= block[:, None] != block[None, :]
+            if table.column("kind")[0].as_py():
+                of = np.array(table.column("bands").take(pa.array(take)).to_pylist(), np.int64)
+                for b in range(int((of == table.column("key")[0].as_py()).all(axis=0).argmax())):  # the bands before this one
+                    near &= of[:, b][:, None] != of[:, b][None, :]
             some, links, root = gathered(near, v, m)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(links), pa.array(root)], names=["v", "links", "root"])
 
-    links = stage(tasks.mapInArrow(trimmed(verify), "v long, links long, root long"), "ngram-links")
-    unstage(placed)
+    links = stage(tasks.mapInArrow(task("ngrams", verify, forget_powers), "v long, links long, root long"), "ngram-links")
+    unstage(placed, groups, large)
     joined = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("d1", "d2", "n", "m", "least", "c")
-    label = joined.join(of_class, joined["v"] == of_class["c"]).groupBy("label").agg(F.min("least").alias("class_id"))
+    label = stage(joined.join(of_class, joined["v"] == of_class["c"]).groupBy("label").agg(F.min("least").alias("class_id")), "ngram-labels")
     per = links.groupBy("v").agg(F.sum("links").alias("links"))
     named = of_class.join(joined.join(label, "label").select("v", "class_id"), F.col("c") == F.col("v"), "left").drop("v").join(per, F.col("c") == F.col("v"), "left")
     named = named.select("d1", "d2", "n", F.coalesce("class_id", "least").alias("class_id"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least").alias("copy_of"), F.col("m").alias("n_copies"))
     out = base.select("id", "d1", "d2", "n").join(named, ["d1", "d2", "n"])
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "copy_of", "n_copies")
+    out = out.select(F.col("id").alias(id_col), "class_id", "n_links", "copy_of", "n_copies")
+    return settle(out, "ngram-joined", base, classes, links, label, joined)
