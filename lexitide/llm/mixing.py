@@ -4,11 +4,12 @@ repetition of a token costs more, then whole documents picked in seeded order.""
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stage, uniform
+from .common import holding, named, prepare, stage, uniform, unstage
 
 #: A word, as the size of a document counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,27 +87,33 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     return [{to[e] - P: cap[e ^ 1] for e in head[p] if e % 2 == 0 and cap[e ^ 1] > 0} for p in range(P)]
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, max_repeats: int = 2, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources", seed: int = 11, buckets: int = 4096, max_patterns: int = 20_000) -> tuple[DataFrame, dict]:
-    """docs with taken long and copies int added, and the plan: sizes, targets and tokens taken by source.
+def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, max_repeats: int = 2, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources", seed: int = 11, buckets: int = 4096, rows_per_bucket: int = 20_000, max_patterns: int = 20_000) -> tuple[DataFrame, dict]:
+    """docs with taken long and copies int added (in place of columns of these names), and the plan: sizes, targets and
+    tokens taken by source.
 
     sources_col is an array of source names, one document may be in several (nulls are a source of their own; an
     empty or null array is one too, weighing what None weighs). A source's target is its weight's part of share times
     all sizes, at most max_repeats times its size. A pattern that must give F tokens of its total T takes every
     document F // T times and, in seeded order, whole documents once more until F mod T is met: those that overshoot are
     passed over, in rounds over the ones that still fit, until none does; then the nearest one closes the gap if that
-    comes nearer. Reruns agree as long as ids and sizes do. Empty documents are
-    taken 0 words. Only patterns (at most max_patterns, else an error) and their sums reach the driver.
+    comes nearer. The order hashes the id, the size and the sources, so rows with equal or null ids are documents of
+    their own; rows that agree in all three are exchangeable. Reruns agree. A null size counts as 0; documents of size 0
+    are taken 0 words. No rows give no rows. Buckets of the order grow with the data. Only patterns (at most
+    max_patterns, else an error) and their sums reach the driver.
     """
     prepare(docs.sparkSession)
+    docs = named(docs, "taken", "copies", needs=(id_col, size_col, sources_col))
     names = F.when(F.coalesce(F.size(sources_col), F.lit(0)) <= 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources_col)))
-    keyed = docs.withColumns({"_m": names, "_u": uniform(F.col(id_col).cast("string"), seed=seed), "_n": F.coalesce(F.col(size_col).cast("long"), F.lit(0))})
-    keyed = stage(keyed.withColumns({"_m": F.to_json(F.struct(F.transform("_m", lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-"))).alias("m"))), "_b": F.floor(F.col("_u") * buckets).cast("int"), "_row": F.monotonically_increasing_id()}), "mix-base")
-    sums = keyed.groupBy("_m").agg(F.sum("_n").alias("n")).limit(max_patterns + 1).collect()
+    pattern = F.to_json(F.struct(F.transform(names, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-"))).alias("m")))
+    size = F.coalesce(F.col(size_col).cast("long"), F.lit(0))
+    # The input stays in one column of its own, so none of its names can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("string").alias("id"), size.alias("n"), pattern.alias("m"))
+    keyed = stage(keyed.withColumns({"u": uniform("id", "n", "m", seed=seed), "row": F.monotonically_increasing_id()}), "mix-base")
+    sums = keyed.groupBy("m").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    import json
-
-    patterns = sorted((r["_m"], int(r["n"])) for r in sums)
+    buckets = max(buckets, sum(r["rows"] for r in sums) // rows_per_bucket)
+    patterns = sorted((r["m"], int(r["n"])) for r in sums)
     inside = [[None if x == "-" else x[1:] for x in json.loads(m)["m"]] for m, _ in patterns]
     sources = sorted({s for m in inside for s in m if s is not None}) + [None] * any(None in m for m in inside)
     place = {s: i for i, s in enumerate(sources)}
@@ -121,42 +128,48 @@ def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, m
         whole, rest = divmod(sum(f.values()), n) if n else (0, 0)
         plan.append((m, int(whole), int(rest)))
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(plan, "_m string, _whole int, _rest long"))  # at most max_patterns rows
-    slim = ["_m", "_b", "_u", id_col, "_row", "_n"]
+    wanted = F.broadcast(spark.createDataFrame(plan, "m string, whole int, rest long"))  # at most max_patterns rows
+    slim = ["m", "b", "u", "id", "row", "n"]
     gaps = {m: rest for m, _, rest in plan if rest}
     steps: dict[str, list[tuple[int, int]]] = {m: [] for m in gaps}
-    pool, fits = keyed.where("_n > 0").select(*slim), None
+    bucket = F.floor(F.col("u") * buckets).cast("int")
+    pool, fits, held = keyed.where("n > 0").withColumn("b", bucket).select(*slim), None, []
     while any(gaps.values()):
-        gap = F.broadcast(spark.createDataFrame([(m, g) for m, g in gaps.items() if g], "_m string, _gap long"))
-        pool = pool.join(gap, "_m").where(F.col("_n") <= F.col("_gap"))
-        per = pool.groupBy("_m", "_b").agg(F.sum("_n").alias("bn"), F.first("_gap").alias("_gap"))
-        before = F.sum("bn").over(Window.partitionBy("_m").orderBy("_b")) - F.col("bn")
-        edge = per.withColumn("_before", before).where((F.col("_before") <= F.col("_gap")) & (F.col("_before") + F.col("bn") > F.col("_gap")))
-        edge = F.broadcast(edge.select("_m", F.col("_b").alias("_edge"), (F.col("_gap") - F.col("_before")).alias("_left")))  # one row a pattern
-        within = F.sum("_n").over(Window.partitionBy("_m", "_b").orderBy("_u", id_col, "_row"))
-        pool = pool.join(edge, "_m", "left").withColumn("_edge", F.coalesce("_edge", F.lit(buckets))).withColumn("_cum", within)
-        pool = stage(pool.withColumn("_takes", (F.col("_b") < F.col("_edge")) | ((F.col("_b") == F.col("_edge")) & (F.col("_cum") <= F.col("_left")))), "mix-round")
-        got = pool.where("_takes").groupBy("_m").agg(F.sum("_n"), F.first("_edge")).collect()
+        gap = F.broadcast(spark.createDataFrame([(m, g) for m, g in gaps.items() if g], "m string, gap long"))
+        pool = pool.join(gap, "m").where(F.col("n") <= F.col("gap"))
+        per = pool.groupBy("m", "b").agg(F.sum("n").alias("bn"), F.first("gap").alias("gap"))
+        before = F.sum("bn").over(Window.partitionBy("m").orderBy("b")) - F.col("bn")
+        edge = per.withColumn("before", before).where((F.col("before") <= F.col("gap")) & (F.col("before") + F.col("bn") > F.col("gap")))
+        edge = F.broadcast(edge.select("m", F.col("b").alias("edge"), (F.col("gap") - F.col("before")).alias("left")))  # one row a pattern
+        within = F.sum("n").over(Window.partitionBy("m", "b").orderBy("u", "id", "row"))
+        pool = pool.join(edge, "m", "left").withColumn("edge", F.coalesce("edge", F.lit(buckets))).withColumn("cum", within)
+        pool = stage(pool.withColumn("takes", (F.col("b") < F.col("edge")) | ((F.col("b") == F.col("edge")) & (F.col("cum") <= F.col("left")))), "mix-round")
+        held.append(pool)
+        got = pool.where("takes").groupBy("m").agg(F.sum("n"), F.first("edge")).collect()
         if not got:
             break
-        edge_rows = pool.where("_takes and _b = _edge").select("_row")
+        edge_rows = pool.where("takes and b = edge").select("row")
         fits = edge_rows if fits is None else fits.unionByName(edge_rows)
         for m, n, e in got:
             steps[m].append((gaps[m], e))
             gaps[m] -= n
         # What fits nowhere now never will, as gaps shrink; a pattern without a row that fits is done.
-        pool = pool.where(~F.col("_takes")).select(*slim)
+        pool = pool.where("not takes").select(*slim)
     # A round took every document of at most its gap in the buckets before its edge, and those of the edge that are listed.
-    rounds = F.broadcast(spark.createDataFrame([(m, gaps[m], [{"gap": g, "edge": e} for g, e in x]) for m, x in steps.items()], "_m string, _gap long, _steps array<struct<gap: long, edge: int>>"))
-    known = keyed.join(wanted, "_m").join(rounds, "_m", "left")
-    once = F.exists("_steps", lambda x: (F.col("_n") <= x["gap"]) & (F.col("_b") < x["edge"]))
-    fits = fits if fits is not None else keyed.select("_row").limit(0)
-    extra = known.join(fits.withColumn("_fit", F.lit(True)), "_row", "left").withColumn("_once", F.coalesce(F.col("_fit"), once, F.lit(False)))
+    rounds = F.broadcast(spark.createDataFrame([(m, gaps[m], [{"gap": g, "edge": e} for g, e in x]) for m, x in steps.items()], "m string, gap long, steps array<struct<gap: long, edge: int>>"))
+    known = keyed.withColumn("b", bucket).join(wanted, "m").join(rounds, "m", "left")
+    once = F.exists("steps", lambda x: (F.col("n") <= x["gap"]) & (F.col("b") < x["edge"]))
+    fits = stage(fits if fits is not None else keyed.select("row").limit(0), "mix-fits")
+    unstage(*held)
+    # Only rows of an edge's bucket, few of all, are looked up in the list.
+    at_edge = F.coalesce(F.exists("steps", lambda x: F.col("b") == x["edge"]), F.lit(False))
+    listed = known.where(at_edge).join(fits.withColumn("fit", F.lit(True)), "row", "left")
+    extra = known.where(~at_edge).withColumn("fit", F.lit(None).cast("boolean")).unionByName(listed).withColumn("once", F.coalesce(F.col("fit"), once, F.lit(False)))
     # The gap left is less than every document that isn't taken; the nearest one is taken if that brings the sum nearer.
-    off = F.abs(F.col("_n") - F.col("_gap"))
-    chosen = extra.where(~F.col("_once") & (F.col("_n") > 0) & (off < F.col("_gap"))).groupBy("_m").agg(F.min(F.struct(off.alias("off"), "_u", id_col, "_row")).alias("c")).select("c._row")
+    off = F.abs(F.col("n") - F.col("gap"))
+    chosen = extra.where(~F.col("once") & (F.col("n") > 0) & (off < F.col("gap"))).groupBy("m").agg(F.min(F.struct(off.alias("off"), "u", "id", "row")).alias("c")).select("c.row")
     chosen = stage(chosen, "mix-closing")  # one row a pattern
-    closing = F.broadcast(chosen.withColumn("_closes", F.lit(True)))
-    out = extra.join(closing, "_row", "left").withColumn("copies", (F.coalesce("_whole", F.lit(0)) + F.when(F.col("_once") | F.coalesce("_closes", F.lit(False)), 1).otherwise(0)).cast("int"))
-    out = out.withColumn("taken", F.col("copies") * F.col("_n")).select(*docs.columns, "taken", "copies")
-    return out, {"sources": sources, "sizes": sizes, "targets": targets, "flow": flow, "patterns": patterns}
+    closing = F.broadcast(chosen.withColumn("closes", F.lit(True)))
+    out = extra.join(closing, "row", "left").withColumn("copies", (F.coalesce("whole", F.lit(0)) + F.when(F.col("once") | F.coalesce("closes", F.lit(False)), 1).otherwise(0)).cast("int"))
+    out = out.select("doc.*", (F.col("copies") * F.col("n")).alias("taken"), "copies")
+    return holding(out, keyed, fits, chosen), {"sources": sources, "sizes": sizes, "targets": targets, "flow": flow, "patterns": patterns}
