@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, langid, media, mixing, ngram_join, packing, quality, repeats, sharding
+from . import embedding_dedup, html_extract, langid, media, mixing, ngram_join, oracles, packing, quality, repeats, sharding
 from .common import prepare
 
 
@@ -20,8 +20,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def weights_by_code_point(docs: DataFrame) -> dict[str | None, float]:
-    """Sources by code point, null last, weigh 3, 1, 2, repeating."""
-    names = [r[0] for r in docs.select("source").distinct().collect()]
+    """Sources by code point, null last, weigh 3, 1, 2, repeating. As many sources as mix() takes patterns, else an error."""
+    names = [r[0] for r in docs.select("source").distinct().limit(20_001).collect()]
+    if len(names) > 20_000:
+        raise ValueError("more than 20000 sources")
     names = sorted(x for x in names if x is not None) + [None] * (None in names)
     return {s: float((3, 1, 2)[i % 3]) for i, s in enumerate(names)}
 
@@ -84,4 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are learned, seeded, or need a checksum or a tokenizer that SQL lacks."""
+    return {"op3_embeddings": oracles.OP3, "op6_repeats": oracles.OP6, "op9_ngram_join": oracles.OP9}
