@@ -31,17 +31,15 @@ def processor(name: str) -> Callable[[Callable], Callable]:
 
 @processor("levels")
 def apply_batch(lines: DataFrame, batch_id: int, levels: list[Level], root: str, base: bool) -> None:
-    """The state of all levels with the batch applied becomes the next version, at once. A batch that ran before is left
-    out, so a restart applies every line once; files must come in the order of their numbers. New words get the next ids
-    of their level's dictionary; ids stay when words go."""
+    """The state of all levels with the batch applied becomes the next version, at once. A batch whose lines the stored
+    position of the log has passed is left out, so a restart applies every line once; files must come in the order of
+    their numbers. New words get the next ids of their level's dictionary; ids stay when words go."""
     spark = lines.sparkSession
     now = pointer(spark, root)
-    if now is not None and now["batch"] is not None and now["batch"] >= batch_id:
-        return
     held = lines.persist()
     try:
         position = log_position(held)
-        if position is None:
+        if position is None or now is not None and now["position"] and list(position) <= now["position"]:
             return
         first = held.selectExpr("min(file_no)").first()[0]
         if now is not None and now["position"] and first <= now["position"][0]:
