@@ -68,9 +68,10 @@ def nearest(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
 
 
 def near_pivots_for(pivots: int) -> int:
-    """How many nearest pivots describe a vector: seven up to 256 pivots and one more for each doubling, eleven at 4096, as
-    two vectors share fewer of their nearest pivots the more there are."""
-    return 7 + max(0, ceil(log2(max(1, pivots) / 256)))
+    """How many nearest pivots describe a vector: seven up to 256 pivots, one more for each doubling, eleven at 4096, and two
+    more for each doubling from there, as two vectors share fewer of their nearest pivots the more there are."""
+    doublings = lambda n: max(0, ceil(log2(max(1, pivots) / n)))
+    return 7 + doublings(256) + doublings(4096)
 
 
 def lists_of(order: np.ndarray, dim: int, head: int = HEAD) -> np.ndarray:
