@@ -50,24 +50,46 @@ def _folder(level: Level) -> str:
     return f"L{level.level}_{level.name}"
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
+#: Rows of a range of postings, so few that a task sorts them in memory.
+RANGE_ROWS = 500_000
+_ORDER = ("type", "word", "docid")
+
+
+def range_cuts(shown: DataFrame, every: int) -> list[tuple]:
+    """Where postings are cut into ranges of about RANGE_ROWS, in order: (type, word, docid) of the first row of each range
+    but the first. shown: one in `every` of the postings."""
+    shown = shown.select(*_ORDER).persist()
+    try:
+        ranges = max(1, -(-shown.count() * every // RANGE_ROWS))
+        first = shown.repartitionByRange(ranges, *_ORDER).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*_ORDER)).alias("first"))
+        return sorted(tuple(r["first"]) for r in first.where("first.docid is not null").collect())[1:]  # one row a range
+    finally:
+        shown.unpersist()
+
+
+def write_postings(postings: DataFrame, path: str, partitions: int | None = None, ranges: int | None = None) -> None:
     """Postings by type in files of ranges of words, sorted: a query prunes folders, files, row groups and pages, and the
-    postings of a frequent word are spread over as many ranges of documents as they fill."""
-    ranged = postings.repartitionByRange(*[partitions] * (partitions is not None), "type", "word", "docid")
-    ranged.sortWithinPartitions("type", "word", "docid").write.mode("overwrite").partitionBy("type").parquet(path)
+    postings of a frequent word are spread over as many ranges of documents as they fill. ranges: how many there are, of
+    postings that say in a column `range` which is theirs (range_cuts()): they are made once then. Otherwise a first run
+    over all of them finds the ranges."""
+    if ranges:
+        ranged = postings.repartitionById(ranges, "range").drop("range")
+    else:
+        ranged = postings.repartitionByRange(*[partitions] * (partitions is not None), *_ORDER)
+    ranged.sortWithinPartitions(*_ORDER).write.mode("overwrite").partitionBy("type").parquet(path)
 
 
-def dump_all(states: dict[Level, State], root: str, position: tuple[int, int] | None = None, batch: int | None = None, signs: dict[Level, DataFrame] | None = None, merged: bool = False) -> int:
+def dump_all(states: dict[Level, State], root: str, position: tuple[int, int] | None = None, batch: int | None = None, signs: dict[Level, DataFrame] | None = None, merged: bool = False, ranges: dict[Level, int] | None = None) -> int:
     """Write the tables of several levels, and their dictionaries if given, under a new version, then point to it: a
     reader sees all levels before or all after, never a mixture. Levels that aren't given keep their version, and so do
-    position and batch. Returns the version."""
+    position and batch. ranges: of levels whose postings say their range, how many. Returns the version."""
     spark = next(iter(states.values())).forward.sparkSession
     now = pointer(spark, root) or {"version": 0, "levels": {}, "position": None, "batch": None, "merged_at": time.time()}
     version = now["version"] + 1
     for level, state in states.items():
         at = f"{root}/{_folder(level)}/v{version}"
         state.forward.write.mode("overwrite").parquet(f"{at}/forward")
-        write_postings(state.postings, f"{at}/postings")
+        write_postings(state.postings, f"{at}/postings", ranges=(ranges or {}).get(level))
         known = (signs or {}).get(level)
         if known is None:
             known = load_dict(spark, level, root)

@@ -13,3 +13,34 @@ def test_upsert_where_parts_pass_a_million(spark, tmp_path):
     got = cq.queries()["fwd_upsert"](spark, d)
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.sql(cq.oracle_sql()["fwd_upsert"]).fetchall())
     assert got.schema.simpleString() == "struct<oid:int,docid:int,brand_id:int,size:int>"
+
+
+def odd_documents(folder):
+    """Texts with ids that repeat, without words, words that repeat, and a word in each of 300 texts."""
+    duckdb.sql(f"""COPY (SELECT i::BIGINT AS doc_id, 'The the for w' || i || ' ' || repeat('und-', i % 4) AS text, 'en' AS lang, 'src' || i % 2 AS source, 1 AS n_chars FROM range(300) t(i)
+        UNION ALL VALUES (7, 'THE w7 x', 'en', 'src0', 1), (301, NULL, 'de', NULL, 1), (302, '--', NULL, 'src1', 1), (303, 'Ä the', NULL, NULL, 1)) TO '{folder}/documents.parquet'""")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return con
+
+
+def test_words_are_counted_where_the_text_is(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = cq.words_of_texts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_an_index_of_many_ranges(spark, tmp_path, monkeypatch):
+    from lexitide.sources import store
+
+    monkeypatch.setattr(store, "RANGE_ROWS", 60)
+    con, d = odd_documents(tmp_path), str(tmp_path)
+    stored = store.load_inv(spark, cq.DOC, cq.doc_index(spark, d))
+    assert stored.selectExpr("count(distinct _metadata.file_path)").first()[0] > 10  # the word `the` alone fills five
+    of = stored.where("type = 0").selectExpr("word", "docid", "_metadata.file_path f").collect()
+    files = sorted((min(x), max(x)) for x in [[(r.word, r.docid) for r in of if r.f == f] for f in {r.f for r in of}])
+    assert all(a[1] < b[0] for a, b in zip(files, files[1:]))
+    sql = cq.oracle_sql()
+    for name in ("q_nested", "q_missing_and", "q_missing_term", "and2", "words_of_doc", "strategy_or", "type_stats"):
+        want = con.sql(sql[name])
+        assert sorted(tuple(r) for r in cq.queries()[name](spark, d).select(*want.columns).collect()) == sorted(want.fetchall()), name
