@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import filesystem
+
 #: Fixed value: longest line.
 MOST_LINE = 10 * 1024 * 1024
 
@@ -15,10 +19,24 @@ def _lines(files: DataFrame) -> DataFrame:
     return out.where((F.col("line") != "") & (F.octet_length("line") <= MOST_LINE) & F.col("file_no").isNotNull())
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The files that a glob names. If only its last part has wildcards, the folder is listed once; else, and for a glob that
+    is read as it is, each file would be listed by itself, by up to 10,000 tasks."""
+    folder, _, name = path.rpartition("/")
+    if not folder or re.search(r"[*?\[{\\]", folder) or not re.search(r"[*?\[{]", name):
+        return spark.read.text(path, wholetext=True)
+    fs, p = filesystem(spark, folder)
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+    depth = re.sub(bare, "", fs.makeQualified(p).toString()).count("/") + 1
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=name, recursiveFileLookup=True)
+    mine = F.regexp_replace(F.col("_metadata.file_path"), bare, "")
+    return files.where(F.length(mine) - F.length(F.replace(mine, F.lit("/"))) == depth)  # not those of folders below
+
+
 def read_log(spark: SparkSession, path: str, after: tuple[int, int] | None = None) -> DataFrame:
     """(file_no, line_no, line) of all files that path (a glob) names; files have a bounded number of lines, so each is
     read whole by one task. after: the place that was dealt with last."""
-    out = _lines(spark.read.text(path, wholetext=True))
+    out = _lines(_files(spark, path))
     return out.where(F.struct("file_no", "line_no") > F.struct(F.lit(after[0]).alias("file_no"), F.lit(after[1]).alias("line_no"))) if after else out
 
 

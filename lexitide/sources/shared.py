@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def take_parts(spark: SparkSession, folder: str, column: str, prefix: str) -> None:
+    """Rename the only part of each number of a column that folder is partitioned by to `prefix.number`, some at a time,
+    and delete folder. The parts are listed in one call."""
+    fs, parts = filesystem(spark, f"{folder}/{column}=*/part-*")
+    _, target = filesystem(spark, prefix)
+    fs.mkdirs(target.getParent())
+    listed, path = fs.globStatus(parts), spark._jvm.org.apache.hadoop.fs.Path
+
+    def move(i: int) -> str:
+        source = listed[i].getPath()
+        to = f"{prefix}.{source.getParent().getName().partition('=')[2]}"
+        if not fs.rename(source, path(to)):
+            raise OSError(f"{to} could not be written")
+        return to
+
+    with ThreadPoolExecutor(8) as pool:
+        made = set(pool.map(move, range(len(listed))))
+    if len(made) < len(listed):
+        raise ValueError("a number has several parts")
+    fs.delete(filesystem(spark, folder)[1], True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -44,3 +44,27 @@ def test_an_index_of_many_ranges(spark, tmp_path, monkeypatch):
     for name in ("q_nested", "q_missing_and", "q_missing_term", "and2", "words_of_doc", "strategy_or", "type_stats"):
         want = con.sql(sql[name])
         assert sorted(tuple(r) for r in cq.queries()[name](spark, d).select(*want.columns).collect()) == sorted(want.fetchall()), name
+
+
+def test_a_log_is_written_by_many_tasks_and_listed_once(spark, tmp_path):
+    from pathlib import Path
+
+    from lexitide.sources.mutation_log import read_log
+
+    d, con = str(tmp_path), duckdb.connect()
+    con.sql(f"COPY (SELECT i::BIGINT AS event_id, (i % 7)::BIGINT AS user_id, 'view' AS event_type, 1.5 AS value, '{{\"k\": 1}}' AS props FROM range(40000) t(i) WHERE i // 400 <> 50) TO '{d}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    tracker, sql = spark.sparkContext.statusTracker(), cq.oracle_sql()
+    log = cq.log_files(spark, d)
+    folder = Path(log.removeprefix("file://")).parent
+    assert len(list(folder.glob("event.*"))) == 99 and not Path(f"{folder}-parts").exists()
+    spark.sparkContext.setJobGroup("listed", "")
+    lines = read_log(spark, log)
+    assert not tracker.getJobIdsForGroup("listed")  # a glob of over 32 files was listed by a job
+    spark.sparkContext.setJobGroup("other", "")
+    (folder / "below").mkdir()
+    (folder / "below" / "event.9999").write_text("not of this folder\n")
+    assert read_log(spark, log).count() == lines.count() == 39600
+    for name in ("log_source", "log_resume", "log_collect", "log_partition"):
+        want = con.sql(sql[name])
+        assert sorted(tuple(r) for r in cq.queries()[name](spark, d).select(*want.columns).collect()) == sorted(want.fetchall()), name
