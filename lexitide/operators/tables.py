@@ -79,8 +79,9 @@ def doc_count(forward: DataFrame, postings: DataFrame | None) -> DataFrame:
 
 
 def words_of_doc(postings: DataFrame, value: str = "word") -> DataFrame:
-    """The sorted words (or sign ids) of each document."""
-    return postings.groupBy("docid").agg(F.array_sort(F.collect_set(value)).alias("words"))
+    """The sorted words (or sign ids) of each document. Postings are stored by word, so sets made before the shuffle would
+    have a word each: rows are dealt by document first, and each set is made once."""
+    return postings.select("docid", value).repartition("docid").groupBy("docid").agg(F.sort_array(F.collect_set(value)).alias("words"))
 
 
 # The dictionary of words

@@ -68,3 +68,13 @@ def test_a_log_is_written_by_many_tasks_and_listed_once(spark, tmp_path):
     for name in ("log_source", "log_resume", "log_collect", "log_partition"):
         want = con.sql(sql[name])
         assert sorted(tuple(r) for r in cq.queries()[name](spark, d).select(*want.columns).collect()) == sorted(want.fetchall()), name
+
+
+def test_sets_of_words_are_made_after_the_shuffle(spark):
+    from lexitide.operators.tables import words_of_doc
+
+    postings = spark.createDataFrame([(i % 3, 0, f"w{i % 5}", None) for i in range(30)] + [(1, 1, "w9", None), (None, 0, "a", None)], "docid int, type int, word string, payload binary")
+    got = words_of_doc(postings)
+    plan = got._jdf.queryExecution().executedPlan().toString()  # from the last step to the first
+    assert plan.rindex("Aggregate") < plan.index("Exchange") and plan.count("Exchange") == 1
+    assert {r.docid: r.words for r in got.collect()} == {0: ["w0", "w1", "w2", "w3", "w4"], 1: ["w0", "w1", "w2", "w3", "w4", "w9"], 2: ["w0", "w1", "w2", "w3", "w4"], None: ["a"]}
