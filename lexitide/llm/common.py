@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexitide.sources.shared import stage, unstage
 
@@ -47,6 +49,14 @@ def settle(df: DataFrame, name: str, *tables: DataFrame) -> DataFrame:
     return out
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table. They go as Arrow: rows of Python objects are unpickled by executors, each
+    with Python workers and a daemon beside those of Arrow tasks."""
+    kinds = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow), kinds)
+
+
 #: Numbers that rows are sifted by.
 SIFT_NUMBERS = 1 << 20
 

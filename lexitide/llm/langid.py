@@ -20,11 +20,11 @@ from .common import Batches, held_out, mix64, named, prepare, runs, task, unifor
 
 BITS = 16
 #: Bytes, about, of words and their emissions that one Python worker keeps before it starts anew.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 16 << 20
 #: Characters of a word that is one observation; a longer word is several.
 LONG = 64
 #: Words whose features are held at a time.
-HELD_WORDS = 20_000
+HELD_WORDS = 4_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _caches: dict[str, tuple[dict, list, list]] = {}
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Batches) -> Batches:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            for a, b in runs(column, 500_000):
+            for a, b in runs(column, 250_000):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 lang, score, shares, switches = score_texts(shipped.value, texts)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], pa.array(lang), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64())), pa.array(switches, pa.int64())], names=schema.names)

@@ -9,7 +9,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import holding, named, prepare, stage, uniform, unstage
+from .common import holding, named, prepare, small, stage, uniform, unstage
 
 #: A word, as the size of a document counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -128,14 +128,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, m
         whole, rest = divmod(sum(f.values()), n) if n else (0, 0)
         plan.append((m, int(whole), int(rest)))
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(plan, "m string, whole int, rest long"))  # at most max_patterns rows
+    wanted = F.broadcast(small(spark, plan, "m string, whole int, rest long"))  # at most max_patterns rows
     slim = ["m", "b", "u", "id", "row", "n"]
     gaps = {m: rest for m, _, rest in plan if rest}
     steps: dict[str, list[tuple[int, int]]] = {m: [] for m in gaps}
     bucket = F.floor(F.col("u") * buckets).cast("int")
     pool, fits, held = keyed.where("n > 0").withColumn("b", bucket).select(*slim), None, []
     while any(gaps.values()):
-        gap = F.broadcast(spark.createDataFrame([(m, g) for m, g in gaps.items() if g], "m string, gap long"))
+        gap = F.broadcast(small(spark, [(m, g) for m, g in gaps.items() if g], "m string, gap long"))
         pool = pool.join(gap, "m").where(F.col("n") <= F.col("gap"))
         per = pool.groupBy("m", "b").agg(F.sum("n").alias("bn"), F.first("gap").alias("gap"))
         before = F.sum("bn").over(Window.partitionBy("m").orderBy("b")) - F.col("bn")
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float], share: float = 1.5, m
         # What fits nowhere now never will, as gaps shrink; a pattern without a row that fits is done.
         pool = pool.where("not takes").select(*slim)
     # A round took every document of at most its gap in the buckets before its edge, and those of the edge that are listed.
-    rounds = F.broadcast(spark.createDataFrame([(m, gaps[m], [{"gap": g, "edge": e} for g, e in x]) for m, x in steps.items()], "m string, gap long, steps array<struct<gap: long, edge: int>>"))
+    rounds = F.broadcast(small(spark, [(m, gaps[m], [{"gap": g, "edge": e} for g, e in x]) for m, x in steps.items()], "m string, gap long, steps array<struct<gap: long, edge: int>>"))
     known = keyed.withColumn("b", bucket).join(wanted, "m").join(rounds, "m", "left")
     once = F.exists("steps", lambda x: (F.col("n") <= x["gap"]) & (F.col("b") < x["edge"]))
     fits = stage(fits if fits is not None else keyed.select("row").limit(0), "mix-fits")

@@ -16,6 +16,8 @@ from .graph import blocked, components, gathered, grouped
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Weight (n-grams) and rows of one block of a candidate group.
 BLOCK_NGRAMS, BLOCK_ROWS = 1_500_000, 2500
+#: Rows of a block that are compared at a time.
+HELD_ROWS = 128
 _powers: list[np.ndarray] = []
 
 
@@ -117,7 +119,7 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     value, who = np.repeat(np.arange(len(edge)), many)[rare], own[rare]
     for s in range(1, int(many[(many > 1) & ~often].max(initial=1))):
         same = value[s:] == value[:-s]
-        out += np.bincount(who[:-s][same] * n + who[s:][same], minlength=n * n).astype(np.float32)
+        np.add.at(out, who[:-s][same] * n + who[s:][same], np.float32(1))  # a bincount takes two more tables of n * n
     out = out.reshape(n, n)
     out += out.T
     wide = np.flatnonzero(often)
@@ -133,9 +135,12 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which two of the sets have a Jaccard index of at least threshold."""
-    both = shared(sets).astype(np.float64)
+    counts = shared(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    near = both / np.maximum(1.0, sizes[:, None] + sizes[None, :] - both) >= threshold
+    near = np.empty(counts.shape, dtype=bool)
+    for a in range(0, len(sets), HELD_ROWS):
+        both = counts[a : a + HELD_ROWS].astype(np.float64)
+        near[a : a + HELD_ROWS] = both / np.maximum(1.0, sizes[a : a + HELD_ROWS, None] + sizes[None, :] - both) >= threshold
     np.fill_diagonal(near, False)
     return near
 

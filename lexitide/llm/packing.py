@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, apart, holding, named, prepare, settle, stage, task, unstage
+from .common import Batches, apart, holding, named, prepare, settle, small, stage, task, trim, unstage
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 #: Bytes, about, that each of a worker's caches takes before it turns old and the older one is let go.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 16 << 20
+#: Texts whose words are held at a time.
+HELD_TEXTS = 100
 #: Marks that the tokenizer cuts off a word of letters as a piece of their own.
 _STOPS = frozenset(".,;:!?")
 _encoders: dict[str, "Encoder"] = {}
@@ -241,6 +243,7 @@ def token_bytes(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text; encoders stay with their worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        trim()  # else what it was read from takes room until the task ends
     return _encoders[path].encode(texts)
 
 
@@ -259,8 +262,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     def run(batches: Batches) -> Batches:
         for batch in batches:
             gc.disable()  # caches of words hold no cycles, and walking them again and again is a third of the time
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for at in range(0, batch.num_rows, HELD_TEXTS):
+                part = batch.slice(at, HELD_TEXTS)
                 owner, piece, start, length, crc = [], [], [], [], []
                 for i, raw in enumerate(token_bytes(tokenizer_path, part.column(2).to_pylist())):
                     raw += end
@@ -292,7 +295,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", or
         raise ValueError("a length is null")
     where = Placement(solve(hist, capacity, rounds))
     group = min(100_000, max(64, sum(hist.values()) // 1000))
-    table = spark.createDataFrame([(int(x), -(-n // group)) for x, n in hist.items()], f"{l} long, {salts} int")  # at most capacity rows
+    table = small(spark, [(int(x), -(-n // group)) for x, n in hist.items()], f"{l} long, {salts} int")  # at most capacity rows
     dealt = kept.join(F.broadcast(table), kept[length_col] == F.col(l)).withColumn(salt, F.pmod(F.xxhash64(*order), F.col(salts)).cast("int")).drop(l, salts)
     numbered = stage(dealt.withColumn(rn, F.row_number().over(Window.partitionBy(length_col, salt).orderBy(*order)) - 1), "pack-numbered")
     unstage(kept)
