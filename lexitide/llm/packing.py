@@ -11,26 +11,32 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable
 from functools import cached_property
+from itertools import compress
+from operator import not_
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, apart, holding, named, prepare, settle, small, stage, task, trim, unstage
+from .common import Batches, apart, bytes_of, holding, named, prepare, settle, small, stage, task, trim, unstage
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
-#: Bytes, about, that each of a worker's caches takes before it turns old and the older one is let go.
-CACHE_BYTES = 16 << 20
-#: Texts whose words are held at a time.
-HELD_TEXTS = 100
-#: Marks that the tokenizer cuts off a word of letters as a piece of their own.
-_STOPS = frozenset(".,;:!?")
+#: Bytes, about, that each of a worker's caches takes before it turns old and the older one is let go, and what a piece
+#: takes beside two bytes a character, as measured.
+CACHE_BYTES, PIECE_BYTES = 16 << 20, 115
+#: What the tokenizer takes as pieces. Arrow sets the pieces that are no letters apart, by classes that agree with those of
+#: the tokenizer for PLAIN characters; lower case is all that normalizing makes of these, whatever stands beside them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\v\x{85}\p{Z}\p{L}\p{N}]+"
+PLAIN = ((0x0, 0x1B), (0x20, 0x12F), (0x131, 0x2FF), (0x388, 0x38A), (0x38C, 0x38C), (0x38E, 0x3A1), (0x3A3, 0x482), (0x48A, 0x52F), (0x531, 0x556), (0x5D0, 0x5EA), (0x600, 0x60F), (0x61B, 0x64A), (0x660, 0x66F), (0x671, 0x6D5), (0x10D0, 0x10FF), (0x1E00, 0x1EFF), (0x2000, 0x2064), (0x20A0, 0x20C0), (0x2100, 0x218B), (0x2190, 0x2328), (0x2460, 0x2ADB), (0x3000, 0x3029), (0x3030, 0x303F), (0x3041, 0x3096), (0x309B, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFFBE))
+#: Texts that Arrow does not cut: other characters, or what may be a special token.
+ODD = r"<\||[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in PLAIN) + "]"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -138,25 +144,25 @@ class Placement:
 
 
 class Cache:
-    """Values by word, those of late: a young table and the one that was young before it."""
+    """Values by piece or word, those of late: a young table and the one that was young before it."""
 
     def __init__(self):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def missing(self, words: set[str]) -> list[str]:
-        """The words that neither table has; those of the old one become young again."""
-        new = words.difference(self.young)
+    def missing(self, pieces: list[str]) -> list[str]:
+        """Those of the pieces, which are distinct, that neither table has; those of the old one become young again."""
+        new = list(compress(pieces, map(not_, map(self.young.__contains__, pieces))))
         if self.old and new:
-            back = list(new & self.old.keys())
+            back = [p for p in new if p in self.old]
             self.put(back, map(self.old.__getitem__, back))
-            new.difference_update(back)
-        return list(new)
+            new = [p for p in new if p not in self.young]
+        return new
 
-    def put(self, words: list[str], values: Iterable[bytes]) -> None:
-        self.young.update(zip(words, values))
-        self.held += 90 * len(words) + 2 * sum(map(len, words))  # as measured; most values are shared
+    def put(self, pieces: list[str], values: Iterable[bytes]) -> None:
+        self.young.update(zip(pieces, values))
+        self.held += PIECE_BYTES * len(pieces) + 2 * sum(map(len, pieces))
 
     def turn(self) -> None:
         """To be called when no value is needed any more."""
@@ -165,9 +171,10 @@ class Cache:
 
 
 class Encoder:
-    """Ids of words by a tokenizer of the `tokenizers` library that lower-cases, drops white space and ends words by
-    </w>: texts are cut at white space, words at the tokenizer's own pattern, and what recurs comes from caches that
-    keep the words of late."""
+    """Ids of texts by a tokenizer of the `tokenizers` library that lower-cases, cuts texts into pieces by the pattern
+    PATTERN and ends pieces by </w>. Arrow cuts a whole batch at once and leaves each distinct piece to Python, which
+    has those of late in a cache. Texts with characters beyond PLAIN are cut at white space, and their words are normalized
+    and cut by the tokenizer's own rules; those have a cache of their own."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -178,9 +185,11 @@ class Encoder:
         self.normalizer = self.parts.normalizer
         spec = json.loads(Path(path).read_text())
         cut = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.cut = regex.compile(cut[0])
+        self.rule = pre_tokenizers.Split(Regex(cut[0]), "removed", invert=True)
+        kinds = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+        self.odd = ODD if (kinds, cut) == (["NFC", "Replace", "Lowercase"], [PATTERN]) else ""  # by other rules every text is odd
         self.parts.normalizer = None
-        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(" "), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         vocab = self.parts.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -200,7 +209,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn_pieces(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 512):
             some = new[i : i + 512]
             got = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -211,35 +220,54 @@ class Encoder:
             else:
                 self.pieces.put(some, [np.array(self.parts.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in some])
 
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, of which one may be empty."""
+        self.learn([p for p in self.pieces.missing(pieces) if p])
+        have = self.pieces.young
+        return [have[p] if p else b"" for p in pieces]
+
+    def cut_by_arrow(self, texts: pa.Array) -> list[bytes]:
+        words = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \0 "))
+        coded = words.values.dictionary_encode()
+        data, at = bytes_of(pa.array(self.known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices))
+        at = at[words.offsets.to_numpy()].tolist()
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:])]
+
     def learn_words(self, new: list[str]) -> None:
         plain = [w for w in new if "<|" not in w]
         normal = self.normalizer.normalize_str(" ".join(plain)).split(" ")
         if len(normal) != len(plain):
             plain, normal = [], []
-        cut = self.cut.findall
-        split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else cut(w) for w in normal]
-        self.learn_pieces(self.pieces.missing({p for ps in split for p in ps}))
-        have = self.pieces.young
+        found = self.rule.pre_tokenize_str(" ".join(normal))
+        split: list[list[str]] = [[] for _ in normal]
+        ends = np.cumsum([len(w) + 1 for w in normal])
+        for i, (p, _) in zip(np.searchsorted(ends, [a for _, (a, _) in found], "right").tolist(), found):
+            split[i].append(p)
+        pieces = list({p for ps in split for p in ps})
+        have = dict(zip(pieces, self.known(pieces)))
         self.words.put(plain, [have[ps[0]] if len(ps) == 1 else b"".join([have[p] for p in ps]) for ps in split])
         if len(plain) < len(new):
             rest = [w for w in new if w not in self.words.young]
             self.words.put(rest, map(self.ids, rest))
-        self.pieces.turn()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text."""
+    def cut_by_rule(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words or ())
-        self.learn_words(self.words.missing(seen))
+        self.learn_words(self.words.missing(list({w for words in split for w in words or ()})))
         known = self.words.young.__getitem__
-        out = [self.ids(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split)]
+        return [self.ids(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text."""
+        texts = texts.cast(pa.large_string())  # what is made of a text may be longer than 2 GB
+        odd = pc.match_substring_regex(texts, self.odd)
+        plain = iter(self.cut_by_arrow(texts.filter(pc.invert(odd))))
+        rest = iter(self.cut_by_rule(texts.filter(odd).to_pylist()))
         self.words.turn()
-        return out
+        self.pieces.turn()
+        return [next(rest if x else plain) for x in odd.to_pylist()]
 
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
+def token_bytes(path: str, texts: pa.Array) -> list[bytes]:
     """The ids of each text; encoders stay with their worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -262,16 +290,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     def run(batches: Batches) -> Batches:
         for batch in batches:
             gc.disable()  # caches of words hold no cycles, and walking them again and again is a third of the time
-            for at in range(0, batch.num_rows, HELD_TEXTS):
-                part = batch.slice(at, HELD_TEXTS)
-                owner, piece, start, length, crc = [], [], [], [], []
-                for i, raw in enumerate(token_bytes(tokenizer_path, part.column(2).to_pylist())):
-                    raw += end
-                    for j, a in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[a : a + 4 * capacity]
-                        owner.append(i), piece.append(j), start.append(a // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
-                take = pa.array(owner, type=pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
+            owner, piece, start, length, crc = [], [], [], [], []
+            for i, raw in enumerate(token_bytes(tokenizer_path, batch.column(2))):
+                raw += end
+                for j, a in enumerate(range(0, len(raw), 4 * capacity)):
+                    cut = raw[a : a + 4 * capacity]
+                    owner.append(i), piece.append(j), start.append(a // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+            take = pa.array(owner, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
         if tokenizer_path in _encoders:
             _encoders[tokenizer_path].rest()
 
