@@ -30,6 +30,8 @@ Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 #: Bytes, about, that each of a worker's caches takes before it turns old and the older one is let go, and what a piece
 #: takes beside two bytes a character, as measured.
 CACHE_BYTES, PIECE_BYTES = 16 << 20, 115
+#: Bytes of Arrow batches that are cut at a time: the more, the fewer distinct pieces.
+HELD_BYTES = 3 << 20
 #: What the tokenizer takes as pieces. Arrow sets the pieces that are no letters apart, by classes that agree with those of
 #: the tokenizer for PLAIN characters; lower case is all that normalizing makes of these, whatever stands beside them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -275,6 +277,19 @@ def token_bytes(path: str, texts: pa.Array) -> list[bytes]:
     return _encoders[path].encode(texts)
 
 
+def gathered(batches: Batches) -> Batches:
+    """The rows of batches in order, in batches of HELD_BYTES at least, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -288,7 +303,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in gathered(batches):
             gc.disable()  # caches of words hold no cycles, and walking them again and again is a third of the time
             owner, piece, start, length, crc = [], [], [], [], []
             for i, raw in enumerate(token_bytes(tokenizer_path, batch.column(2))):

@@ -49,3 +49,11 @@ def test_forms_of_a_word_share_what_is_cached():
     marks = ("", ".", ",", "!", "?", ";", ":", "...", "'s", "|")
     own.encode(pa.array([f"{w}{m}" for i in range(50) for m in marks for w in (f"word{'x' * i}", f"Word{'x' * i}", f"WORD{'X' * i}")]))
     assert sum(len(c.young) + len(c.old) for c in vars(own).values() if isinstance(c, packing.Cache)) <= 50 + len(marks)
+
+
+def test_batches_are_gathered_in_order_and_whole():
+    parts = [pa.record_batch([pa.array(range(a, a + n), pa.int64())], ["i"]) for a, n in ((0, 5), (5, 0), (5, 300_000), (300_005, 200_000), (500_005, 400_000), (900_005, 1))]
+    got = list(packing.gathered(iter(parts)))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(900_006))
+    assert len(got) == 3 and all(b.nbytes >= packing.HELD_BYTES for b in got[:-1])
+    assert list(packing.gathered(iter([]))) == []
