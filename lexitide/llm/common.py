@@ -148,14 +148,14 @@ def only(name: str, clear: Callable[[], None] | None = None) -> None:
     for k in others:
         _holders.pop(k)()
     if others:
+        gc.enable()
         trim()
     if clear is not None:
         _holders[name] = clear
 
 
 def trim() -> None:
-    """Give freed memory back to the system; workers that wait for other tasks would keep it."""
-    gc.enable()
+    """Give freed memory back to the system; workers that wait for other tasks would keep it, and so would the driver."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -176,6 +176,7 @@ def task(name: str, run: Callable[[Batches], Batches], clear: Callable[[], None]
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             trim()
 
     return whole

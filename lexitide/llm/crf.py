@@ -17,9 +17,20 @@ class Chain:
     first: np.ndarray  # labels
 
 
+#: Features whose weights are gathered at a time.
+HELD_FEATURES = 200_000
+
+
 def emissions(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of feature weights of each observation; observation i has features flat[starts[i]:starts[i + 1]], one at least."""
-    return np.add.reduceat(weights[flat], starts[:-1], axis=0) if len(starts) > 1 else np.zeros((0, weights.shape[1]), weights.dtype)
+    n = len(starts) - 1
+    out = np.zeros((max(0, n), weights.shape[1]), weights.dtype)
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + HELD_FEATURES, side="right")) - 1)
+        out[a:b] = np.add.reduceat(weights[flat[starts[a] : starts[b]]], starts[a:b] - starts[a], axis=0)
+        a = b
+    return out
 
 
 def train(flat: np.ndarray, starts: np.ndarray, chains: np.ndarray, labels: np.ndarray, n_features: int, n_labels: int, steps: int = 40, rate: float = 0.15, decay: float = 1e-4) -> Chain:
@@ -65,8 +76,8 @@ def train(flat: np.ndarray, starts: np.ndarray, chains: np.ndarray, labels: np.n
                 back = after @ move.T
                 beta = np.where(here[:, None], back / back.sum(axis=1, keepdims=True), 1.0)
         diff = (truth - expected) / total
-        grow = np.repeat(diff, counts, axis=0)
-        g = [np.stack([np.bincount(flat, weights=grow[:, k], minlength=n_features) for k in range(K)], axis=1), (true_moves - want) / total, (true_first - first) / B]
+        # A label at a time: with all of them a table has a row for each feature of each observation.
+        g = [np.stack([np.bincount(flat, weights=np.repeat(diff[:, k], counts), minlength=n_features) for k in range(K)], axis=1), (true_moves - want) / total, (true_first - first) / B]
         for i in range(3):
             g[i] -= decay / total * x[i]
             m[i] = 0.9 * m[i] + 0.1 * g[i]

@@ -24,11 +24,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")))
     was = now.select(mark.alias("m")).first()["m"]
     for _ in range(most_rounds):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        # One scan each: every scan and every stage of a round costs the driver a broadcast. a is above b in all rounds.
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).select("col.u", "col.v")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
         often = F.col("k") > max(100, was[0] // 1000)
         hot = stage(least.where(often).select("u", F.col("m").alias("hot")), "cc-hot")
-        up = both.where("v > u").join(F.broadcast(hot), "u", "left")
+        up = now.select(F.col("b").alias("u"), F.col("a").alias("v")).join(F.broadcast(hot), "u", "left")
         light = up.where("hot is null").join(least.where(~often), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = light.unionByName(up.where("hot is not null").select(F.col("v").alias("a"), F.col("hot").alias("b"))).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))

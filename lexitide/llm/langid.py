@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import Batches, held_out, mix64, named, prepare, runs, task, uniform
+from .common import Batches, held_out, mix64, named, prepare, runs, task, trim, uniform
 
 BITS = 16
 #: Bytes, about, of words and their emissions that one Python worker keeps before it starts anew.
@@ -112,8 +112,9 @@ def fit(samples: list[tuple[str, str]], chains: int = 4000, length: int = 48, le
     are learned."""
     rng = random.Random(seed)
     by: dict[str, list[list[str]]] = {}
+    once: dict[str, str] = {}  # texts share one string for each word
     for text, lang in samples:
-        words = words_of(text)
+        words = [once.setdefault(w, w) for w in words_of(text)]
         if any(_LETTER.search(w) for w in words):
             by.setdefault(lang, []).append(words)
     languages = sorted(by)
@@ -135,14 +136,23 @@ def fit(samples: list[tuple[str, str]], chains: int = 4000, length: int = 48, le
                 k = rng.randrange(len(languages))
             elif rng.random() < 0.5:
                 break
-    flat, owner = features([bare(w) for w in seen], lexicon)
-    mute = np.setdiff1d(np.arange(len(seen)), owner)
-    flat, owner = np.append(flat, np.full(len(mute), (1 << BITS) + len(lexicon))), np.append(owner, mute)
-    flat = flat[np.argsort(owner, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(seen)))]).astype(np.int64)
+    by.clear(), once.clear(), counts.clear()
     n = (1 << BITS) + len(lexicon) + 1
+    plain, parts, per_word = [bare(w) for w in seen], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(plain), HELD_WORDS):
+        held = plain[a : a + HELD_WORDS]
+        own_ids, owner = features(held, lexicon)
+        mute = np.setdiff1d(np.arange(len(held)), owner)
+        own_ids, owner = np.append(own_ids, np.full(len(mute), n - 1)), np.append(owner, mute)
+        parts.append(own_ids[np.argsort(owner, kind="stable")])
+        per_word.append(np.bincount(owner, minlength=len(held)))
+    flat, starts = np.concatenate(parts), np.cumsum(np.concatenate([[0], *per_word])).astype(np.int64)
+    del plain, parts
+    seen.clear()
     chain = crf.train(flat, starts, ids, labels, n, max(1, len(languages))) if languages else crf.Chain(np.zeros((n, 1)), np.zeros((1, 1)), np.zeros(1))
     chain.weights[-1] = 0  # a word without letters says nothing
+    del flat, starts, ids, labels
+    trim()  # the driver would keep what fitting took
     return Model(languages, lexicon, chain, f"{zlib.crc32(chain.weights.tobytes()):08x}{len(lexicon)}")
 
 

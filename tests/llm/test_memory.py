@@ -1,11 +1,12 @@
-"""What the pipeline's operators take of an executor."""
+"""What the pipeline's operators take of an executor and of the driver."""
 
+import random
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexitide.llm import mixing, ngram_join, packing
+from lexitide.llm import crf, graph, langid, mixing, ngram_join, packing
 from lexitide.llm.common import small
 
 
@@ -43,3 +44,39 @@ def test_a_block_is_compared_in_a_few_bytes_a_pair():
     tracemalloc.stop()
     assert {tuple(x) for x in np.argwhere(near).tolist()} == {x for i in range(0, n, 100) for x in ((i, i + 1), (i + 1, i))}
     assert peak < 20 * n * n
+
+
+def test_fitting_the_language_takes_little_of_the_driver():
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghijklmnoprstuv", k=r.randint(4, 14))) for _ in range(30_000)]
+    samples = [(" ".join(r.choices(words[k * 5000 : k * 5000 + 15_000], k=500)), f"l{k}") for k in range(4) for _ in range(300)]
+    tracemalloc.start()
+    model = langid.fit(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["l0", "l1", "l2", "l3"]
+    assert peak < 120e6
+
+
+def test_sums_of_weights_don_t_depend_on_how_many_are_held(monkeypatch):
+    rng = np.random.default_rng(2)
+    weights, counts = rng.normal(size=(50, 3)), rng.integers(1, 9, 40)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    flat = rng.integers(0, 50, starts[-1])
+    want = np.array([weights[flat[a:b]].sum(axis=0) for a, b in zip(starts, starts[1:])])
+    whole = crf.emissions(weights, flat, starts)
+    assert np.allclose(whole, want)
+    for held in (1, 5, 16):
+        monkeypatch.setattr(crf, "HELD_FEATURES", held)
+        assert (crf.emissions(weights, flat, starts) == whole).all()
+    assert crf.emissions(weights, flat[:0], starts[:1]).shape == (0, 3)
+
+
+def test_a_round_of_components_reads_its_links_once_for_each_use(spark, monkeypatch):
+    scans = []
+    stage = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [a#")) or stage(df, name))
+    edges = spark.createDataFrame([(5, 3), (3, 1), (9, 5), (7, 8), (2, 2), (1, 9)], "a long, b long")
+    got = {r.v: r.label for r in graph.components(edges).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 9: 1, 7: 7, 8: 7}
+    assert max(scans) <= 9  # what a round joins is used three times, each with three scans
